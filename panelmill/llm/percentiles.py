@@ -23,7 +23,7 @@ def sketched(x: Column, rel_error: float) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * F.pow(F.lit(gamma), cell) * (2 / (gamma + 1)))
 
 
-def summaries(df: DataFrame, group: Sequence[str], measures: Sequence[str], rel_error: float = 0.001) -> DataFrame:
+def summaries(df: DataFrame, group: Sequence[str], measures: Sequence[str], rel_error: float = 0.005) -> DataFrame:
     """Mergeable summary: group columns, measure, kind, value, n.
 
     kind is 'value' (finite numbers, value holds the representative), 'null', 'nan' or
@@ -74,7 +74,7 @@ def percentiles(summary: DataFrame, group: Sequence[str], probs: Sequence[float]
     finite values has null percentiles and its counts.
     """
     packed = F.struct(*[F.col(f"`{g}`") for g in group], "measure")
-    s = combine(summary, group).select(packed.alias("_g"), "kind", "value", "n")
+    s = combine(summary.select(packed.alias("_g"), "measure", "kind", "value", "n"), ["_g"]).drop("measure")
     count = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
     counts = s.groupBy("_g").agg(count("value").alias("n"), count("null").alias("n_null"), count("nan").alias("n_nan"), count("inf").alias("n_inf"))
     steps = [round(p * 10_000) for p in probs]

@@ -5,34 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import mixing, neardup, percentiles, ranking
+from panelmill.llm import leakage, mixing, neardup, percentiles, ranking
 from panelmill.sources.tables import durable, read_table, row_digest
 
 PROBS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 HEADLINES = "заголовки"
 
 
-def _forecast_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of problem 1, exact copies of a row once: grouped by the fields themselves and a digest of the whole row."""
-    df = read_table(spark, sf_dir, "forecasts")
-    keep = ["category", "step", "run_date", "y_true", "y_pred"]
-    return df.select(*keep, row_digest(df)[0]).distinct().drop("_d1")
+REL_ERROR = 0.005
 
 
-def _daily(spark: SparkSession, sf_dir: str, rel_error: float) -> DataFrame:
-    return percentiles.summaries(_forecast_values(spark, sf_dir), ["run_date", "category", "step"], ["y_true", "y_pred"], rel_error)
+def _forecast_values(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Fields of problem 1, exact copies of a row once: grouped by the fields themselves and a digest of the whole row."""
+    df = read_table(spark, sf_dir, "forecasts")
+    return df.select(*keep, "y_true", "y_pred", row_digest(df)[0]).distinct().drop("_d1")
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.percentiles(_daily(spark, sf_dir, 0.001), ["category", "step"], PROBS)
+    cells = percentiles.summaries(_forecast_values(spark, sf_dir, "category", "step"), ["category", "step"], ["y_true", "y_pred"], REL_ERROR)
+    return percentiles.percentiles(cells, ["category", "step"], PROBS)
 
 
 def p1_daily_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(spark, sf_dir, 0.001)
+    group = ["run_date", "category", "step"]
+    return percentiles.summaries(_forecast_values(spark, sf_dir, *group), group, ["y_true", "y_pred"], REL_ERROR)
+
+
+def p1_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = durable(p1_daily_summaries(spark, sf_dir), "days")
+    return percentiles.percentiles(days, ["category", "step"], PROBS)
 
 
 def p1_percentiles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.percentiles(_daily(spark, sf_dir, 0.0), ["category", "step"], PROBS, per_octave=512)
+    cells = percentiles.summaries(_forecast_values(spark, sf_dir, "category", "step"), ["category", "step"], ["y_true", "y_pred"], 0.0)
+    return percentiles.percentiles(cells, ["category", "step"], PROBS, per_octave=512)
 
 
 def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +61,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(members, durable(close, "close")).withColumnRenamed("item", "shock_id")
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 def _mixed(spark: SparkSession, sf_dir: str):
     docs = read_table(spark, sf_dir, "documents")
     docs = durable(docs.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens")), "tokens")
@@ -73,10 +87,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_daily_summaries": p1_daily_summaries,
+    "p1_combined_days": p1_combined_days,
     "p1_percentiles_exact": p1_percentiles_exact,
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
 }
