@@ -33,7 +33,7 @@ def word_classes(df: DataFrame, item: str, tokens: Column) -> tuple[DataFrame, D
 
 
 def signatures(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> DataFrame:
-    """class_id, hashes, sig (packed low bits of the first SLOTS minima), keys (one 64-bit key per band)."""
+    """class_id, hashes, sig (packed low bits of the first SLOTS minima), keys (32 bits per band)."""
     count = bands * rows
     draw = np.random.default_rng(seed)
     a = draw.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,10 +56,10 @@ def signatures(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> Dat
             for r in range(rows):
                 key = (key ^ low[r::rows].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            key += np.arange(bands, dtype=np.uint64)[:, None] * np.uint64(0xBF58476D1CE4E5B9)
-            yield pd.DataFrame({"class_id": pdf["class_id"], "hashes": pdf["hashes"], "sig": list(packed.T.view(np.int64)), "keys": list(key.T.view(np.int64))})
+            keys = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pd.DataFrame({"class_id": pdf["class_id"], "hashes": pdf["hashes"], "sig": list(packed.T.view(np.int64)), "keys": list(keys.T)})
 
-    return classes.mapInPandas(run, "class_id bigint, hashes array<bigint>, sig array<bigint>, keys array<bigint>")
+    return classes.mapInPandas(run, "class_id bigint, hashes array<bigint>, sig array<bigint>, keys array<int>")
 
 
 def estimated(a: Column, b: Column, longs: int) -> Column:
@@ -83,7 +83,8 @@ def similar_classes(classes: DataFrame, threshold: float, bands: int, rows: int,
     """
     signed = durable(signatures(classes, bands, rows), "signatures")
     longs = min(SLOTS, bands * rows // 32 * 32) // 32
-    keyed = signed.select("class_id", F.explode("keys").alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    keyed = signed.select("class_id", F.posexplode("keys").alias("band", "key")).select("class_id", (F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key")).alias("key"))
+    keyed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
     keyed = durable(keyed, "buckets")
     left, right = keyed.select("key", F.col("class_id").alias("a")), keyed.select("key", F.col("class_id").alias("b"))
     pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()

@@ -48,7 +48,7 @@ def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _headlines(spark: SparkSession, sf_dir: str):
     df = read_table(spark, sf_dir, "top_shocks_news").select("shock_id", HEADLINES)
     members, classes = neardup.word_classes(df, "shock_id", neardup.words(F.col(HEADLINES)))
-    return members, neardup.similar_classes(classes, 0.6, bands=90, rows=6)
+    return members, neardup.similar_classes(classes, 0.6, bands=72, rows=6)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
