@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import leakage, mixing, neardup, percentiles, ranking
+from panelmill.llm import leakage, mixing, neardup, percentiles, ranking, subjects
 from panelmill.sources.tables import durable, read_table, row_digest
 
 PROBS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -84,6 +84,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached(*_mixed(spark, sf_dir))
 
 
+def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.classify(*[read_table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p9_subjects(spark, sf_dir)
+    per = found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("sentences") / F.col("about")).alias("weight"))
+    return per.select("subject", "documents", "weight")
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_daily_summaries": p1_daily_summaries,
@@ -96,6 +110,9 @@ QUERIES = {
     "p7_leaks": p7_leaks,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_subjects": p9_subjects,
+    "p9_shares": p9_shares,
 }
 
 
