@@ -1,0 +1,241 @@
+"""Monthly panels in long form (e entity, c category, t month ordinal, y value): loading, densifying, features."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelmill.operators.asof import month_number
+from panelmill.operators.control import latest_valid
+
+
+def load_panel(consumption: DataFrame) -> DataFrame:
+    """(e, c, t, y): the latest version of each key; null, NaN and infinite values are null."""
+    key = ["territory_id", "category", "date"]
+    v = latest_valid(consumption.select(*key, "value", "loaded_at"), key, "value", "loaded_at")
+    return v.select(F.col("territory_id").alias("e"), F.col("category").alias("c"), month_number(F.col("date")).alias("t"), finite("value").alias("y"))
+
+
+def finite(c: str | Column) -> Column:
+    """The number, or null for null, NaN and infinite ones."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def densify(panel: DataFrame, max_categories: int = 100) -> DataFrame:
+    """Every entity with every category and every month from the first to the last; absent cells are null.
+
+    Months and categories are few and checked (more than max_categories raises); entities
+    are expanded row by row, without a cross join. An empty panel stays empty.
+    """
+    span = panel.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    names = sorted(r["c"] for r in panel.select("c").distinct().limit(max_categories + 1).collect() if r["c"] is not None)
+    if len(names) > max_categories:
+        raise ValueError(f"more than {max_categories} categories")
+    if span["a"] is None:
+        return panel
+    grid = panel.select("e").distinct().select("e", F.explode(F.array(*map(F.lit, names))).alias("c"))
+    grid = grid.select("e", "c", F.explode(F.sequence(F.lit(span["a"]), F.lit(span["b"]))).alias("t"))
+    return grid.join(panel, ["e", "c", "t"], "left")
+
+
+def complete_entities(panel: DataFrame) -> DataFrame:
+    """Entities with a reading in every month and category: division by count, against scalar totals."""
+    whole = panel.agg((F.countDistinct("t") * F.countDistinct("c")).alias("n")).first()["n"]
+    return panel.where("y is not null").groupBy("e").count().where(F.col("count") == whole).select("e")
+
+
+def series(*extra: str) -> Window:
+    return Window.partitionBy("c", "e", *extra).orderBy("t")
+
+
+def past(n: int) -> Window:
+    return series().rowsBetween(-n, -1)
+
+
+def pct_rank(x: str, *by: str) -> Column:
+    """Rank share with average ties, as a share of the rows of the group; null for null."""
+    w = Window.partitionBy(*by)
+    n = F.count(x).over(w)
+    ties = F.count(x).over(Window.partitionBy(*by, x))
+    rank = F.rank().over(w.orderBy(F.col(x).asc_nulls_last()))
+    return F.when(F.col(x).isNotNull(), (rank + (ties - 1) / 2) / n)
+
+
+def quantile_bin(x: str, bins: int, by: Sequence[str], tie: Sequence[str]) -> Column:
+    """Bin 0..bins-1 by the edges of equal shares of the order of x within the group; ties by `tie`, null for null."""
+    w = Window.partitionBy(*by)
+    rn = F.row_number().over(w.orderBy(F.col(x).asc_nulls_last(), *tie))
+    n = F.count(x).over(w)
+    steps = (rn - 1) * bins + n - 2
+    return F.when(F.col(x).isNull(), None).when(n <= 1, F.lit(0)).otherwise(F.greatest(F.floor(steps / (n - 1)) - 1, F.lit(0))).cast("int")
+
+
+def features(dense: DataFrame) -> DataFrame:
+    """The inputs of a forecast for month t from months before t: lags, trailing means, volatility, year-ago and cross-section terms."""
+    w = series()
+    log = F.when(F.col("y") > 0, F.ln("y"))
+    d = dense.withColumn("l", log).withColumn("g", F.col("l") - F.lag("l", 1).over(w))
+    lag = lambda x, k: F.lag(x, k).over(w)
+    cols = {f"dlog_{k}": lag("l", k) - lag("l", k + 1) for k in (1, 2, 3)}
+    cols |= {f"diff_{k}": lag("y", k) - lag("y", k + 1) for k in (1, 2, 3)}
+    cols |= {"level_1": lag("y", 1), "log_level_1": lag("l", 1)}
+    for k in (3, 6):
+        cols[f"dev_log_mean{k}"] = lag("l", 1) - F.avg("l").over(past(k))
+        cols[f"dev_abs_mean{k}"] = lag("y", 1) - F.avg("y").over(past(k))
+    cols["vol_dlog_6"] = F.when(F.row_number().over(w) > 3, F.stddev_pop("g").over(past(6)))
+    cols |= {"dlog_lag12": lag("l", 12) - lag("l", 13), "diff_lag12": lag("y", 12) - lag("y", 13)}
+    cols |= {"sn_gap_log": lag("l", 12) - lag("l", 1), "sn_gap_abs": lag("y", 12) - lag("y", 1), "yoy_log_1": lag("l", 1) - lag("l", 13)}
+    f = d.select("e", "c", "t", "y", "l", *[v.alias(k) for k, v in cols.items()])
+    cross = Window.partitionBy("c", "t")
+    return f.withColumn("common_dlog_1", F.median("dlog_1").over(cross)).withColumn("common_dlog_lag12", F.median("dlog_lag12").over(cross))
+
+
+def group_features(f: DataFrame, group: str, columns: Sequence[str], prefix: str) -> DataFrame:
+    """Group medians of columns within (category, month)."""
+    w = Window.partitionBy("c", "t", group)
+    return f.select("*", *[F.median(x).over(w).alias(f"{prefix}_{x}") for x in columns])
+
+
+def relative_features(f: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """Columns as deviations from their group median."""
+    w = Window.partitionBy("c", "t", group)
+    return f.select("*", *[(F.col(x) - F.median(x).over(w)).alias(f"rel_{x}") for x in columns])
+
+
+def neighbour_features(f: DataFrame, links: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean of columns over the neighbours (e, nbr) of each entity that have a value."""
+    other = f.select(F.col("e").alias("nbr"), "c", "t", *columns)
+    means = links.select("e", "nbr").join(other, "nbr").groupBy("e", "c", "t").agg(*[F.avg(x).alias(f"nbr_{x}") for x in columns])
+    return f.join(means, ["e", "c", "t"], "left")
+
+
+def structure_features(dense: DataFrame, total: str) -> DataFrame:
+    """share: trailing 12-month mean of ln(category) - ln(total), both floored at 1, for each category but the total."""
+    l = F.ln(F.when(F.col("y").isNotNull(), F.greatest("y", F.lit(1.0))))  # noqa: E741
+    x = dense.select("e", "c", "t", l.alias("l"))
+    base = x.where(F.col("c") == total).select("e", "t", F.col("l").alias("lt"))
+    r = x.where(F.col("c") != total).join(base, ["e", "t"]).withColumn("r", F.col("l") - F.col("lt"))
+    return r.select("e", "c", "t", F.avg("r").over(past(12)).alias("share"))
+
+
+def cross_features(dense: DataFrame) -> DataFrame:
+    """x_dlog and x_dev3: last growth of a category and its deviation from the mean of three months, if all three are there."""
+    w = series()
+    d = dense.withColumn("l", F.when(F.col("y") > 0, F.ln("y")))
+    full = F.when(F.count("l").over(past(3)) == 3, F.avg("l").over(past(3)))
+    return d.select("e", "c", "t", (F.lag("l", 1).over(w) - F.lag("l", 2).over(w)).alias("x_dlog"), (F.lag("l", 1).over(w) - full).alias("x_dev3"))
+
+
+def trend(dense: DataFrame, window: int) -> DataFrame:
+    """Slope of (ln y - cross-section median) over the `window` months before t; null where one of them lacks."""
+    d = dense.withColumn("l", F.when(F.col("y") > 0, F.ln("y")))
+    d = d.withColumn("r", F.col("l") - F.median("l").over(Window.partitionBy("c", "t"))).withColumn("x", F.col("t").cast("double"))
+    slope = F.expr(f"regr_slope(r, x) over (partition by c, e order by t rows between {window} preceding and 1 preceding)")
+    return d.select("e", "c", "t", F.when(F.count("r").over(past(window)) == window, slope).alias(f"trend_{window}"))
+
+
+def season_profile(dense: DataFrame) -> DataFrame:
+    """(c, moy, level): expected seasonal level of each calendar month, from the panel itself.
+
+    Median growth over entities for each month, averaged over years by calendar month, freed
+    from its mean, cumulated from the first calendar month and centred.
+    """
+    w = series()
+    d = dense.withColumn("l", F.when(F.col("y") > 0, F.ln("y")))
+    g = d.withColumn("g", F.col("l") - F.lag("l", 1).over(w)).groupBy("c", "t").agg(F.median("g").alias("g")).where("g is not null")
+    p = g.groupBy("c", (F.col("t") % 12).alias("moy")).agg(F.avg("g").alias("p"))
+    p = p.withColumn("p", F.col("p") - F.avg("p").over(Window.partitionBy("c")))
+    p = p.withColumn("s", F.sum("p").over(Window.partitionBy("c").orderBy("moy")))
+    return p.select("c", "moy", (F.col("s") - F.avg("s").over(Window.partitionBy("c"))).alias("level"))
+
+
+def despike(dense: DataFrame, k: float) -> DataFrame:
+    """Adds clean: an inner reading that leaves its neighbours' mean by more than k MADs of the month, against opposite neighbouring moves, becomes their geometric mean."""
+    w = series()
+    d = dense.withColumn("l", F.when(F.col("y") > 0, F.ln("y")))
+    a, b = F.lag("l", 1).over(w), F.lead("l", 1).over(w)
+    d = d.withColumn("mid", (a + b) / 2).withColumn("turn", F.signum(F.col("l") - a) * F.signum(b - F.col("l"))).withColumn("dev", F.col("l") - F.col("mid"))
+    cross = Window.partitionBy("c", "t")
+    d = d.withColumn("m", F.median("dev").over(cross)).withColumn("mad", F.median(F.abs(F.col("dev") - F.col("m"))).over(cross))
+    hit = (F.abs("dev") > k * 1.4826 * F.col("mad")) & (F.col("turn") < 0)
+    return d.select("e", "c", "t", "y", F.when(hit, F.exp("mid")).otherwise(F.col("y")).alias("clean"))
+
+
+def level_shifts(dense: DataFrame, k: float = 4.0, min_step: float = 0.15, min_post: int = 3, pre: int = 6) -> DataFrame:
+    """(e, c, s, step, score): the strongest lasting step of each series against the median of the month.
+
+    For each month s, the step is the median from s on minus the median of the `pre` months
+    before; its score divides by the spread of both sides. A step that has a companion of the
+    same sign and more than half its size a year before is seasonal and is left out. All
+    candidate months come from one range join within a series (at most months squared rows).
+    """
+    cross = Window.partitionBy("c", "t")
+    r = dense.withColumn("l", F.when(F.col("y") > 0, F.ln("y"))).withColumn("r", F.col("l") - F.median("l").over(cross)).where("r is not null").select("e", "c", "t", "r")
+    ends = dense.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    if ends["a"] is None:
+        return dense.select("e", "c", F.col("t").alias("s"), F.lit(0.0).alias("step"), F.lit(0.0).alias("score")).limit(0)
+    a, b = ends["a"], ends["b"]
+    far = b + 1 - min_post
+    spread = r.select("e", "c", "t", "r", F.explode(F.sequence(F.lit(a + 3), F.lit(far))).alias("s")).where("t >= s - %d" % pre)
+    post, before = F.col("t") >= F.col("s"), F.col("t") < F.col("s")
+    early = post & (F.col("t") < F.col("s") + min_post)
+    agg = spread.groupBy("e", "c", "s").agg(
+        (F.median(F.when(post, F.col("r"))) - F.median(F.when(before, F.col("r")))).alias("step"),
+        (F.median(F.when(early, F.col("r"))) - F.median(F.when(before, F.col("r")))).alias("start"),
+        F.sqrt((F.var_pop(F.when(before, F.col("r"))) + F.var_pop(F.when(post, F.col("r")))) / 2).alias("sd"),
+    )
+    agg = agg.withColumn("score", F.abs("step") / (F.col("sd") + 0.01))
+    year = agg.select("e", "c", (F.col("s") + 12).alias("s"), F.col("start").alias("old"))
+    good = agg.join(year, ["e", "c", "s"], "left").where((F.abs("step") >= min_step) & (F.col("score") >= k))
+    good = good.where(F.col("old").isNull() | ~((F.signum("old") == F.signum("step")) & (F.abs("old") > F.abs("step") / 2)))
+    best = F.row_number().over(Window.partitionBy("e", "c").orderBy(F.desc(F.round("score", 9)), "s"))
+    return good.withColumn("rn", best).where("rn = 1").select("e", "c", "s", "step", "score")
+
+
+def rebase(dense: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Adds based: readings before an accepted shift, brought to the level after it."""
+    d = dense.join(shifts.select("e", "c", "s", "step"), ["e", "c"], "left")
+    return d.select("e", "c", "t", "y", F.when(F.col("t") < F.col("s"), F.col("y") * F.exp("step")).otherwise(F.col("y")).alias("based"))
+
+
+def winsorise(rows: DataFrame, x: str, q: float, *by: str) -> DataFrame:
+    """Adds <x>_w: x within its q and 1-q percentiles of the group."""
+    w = Window.partitionBy(*by)
+    p = F.percentile(x, F.array(F.lit(q), F.lit(1 - q))).over(w)
+    return rows.withColumn("_p", p).withColumn(f"{x}_w", F.when(F.col(x).isNotNull(), F.greatest(F.least(F.col(x), F.col("_p")[1]), F.col("_p")[0]))).drop("_p")
+
+
+def simple_forecasts(panel: DataFrame, last: int, steps: int) -> DataFrame:
+    """(e, c, step, model, y_pred) from months up to `last`: naive, mean_3/6/12, drift, seasonal_naive, seasonal_naive_growth.
+
+    Growth compares the last three months with the same ones a year before; it is 1 where no
+    full year precedes them. A series without what a model needs has null predictions.
+    """
+    h = panel.where(F.col("t") <= last)
+    at = lambda k: F.max(F.when(F.col("t") == last - k, F.col("y")))
+    mean = lambda k: F.avg(F.when(F.col("t") > last - k, F.col("y")))
+    total = lambda a, b: F.sum(F.when((F.col("t") > last - b) & (F.col("t") <= last - a), F.col("y")))
+    first = F.min_by("y", F.when(F.col("y").isNotNull(), F.col("t")))
+    agg = h.groupBy("e", "c").agg(
+        at(0).alias("naive"), *[mean(k).alias(f"mean_{k}") for k in (3, 6, 12)], first.alias("first"), F.min(F.when(F.col("y").isNotNull(), F.col("t"))).alias("t0"),
+        (total(0, 3) / F.nullif(total(12, 15), F.lit(0.0))).alias("growth"), F.map_from_entries(F.collect_list(F.struct((F.col("t") - last + 11).alias("k"), "y"))).alias("by"),
+    )
+    agg = agg.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    year = F.try_element_at("by", ((F.col("step") - 1) % 12).cast("int"))
+    drift = F.col("naive") + (F.col("naive") - F.col("first")) / F.nullif(F.lit(last) - F.col("t0"), F.lit(0)) * F.col("step")
+    models = {"naive": F.col("naive"), "mean_3": F.col("mean_3"), "mean_6": F.col("mean_6"), "mean_12": F.col("mean_12"), "drift": drift, "seasonal_naive": year, "seasonal_naive_growth": year * F.coalesce("growth", F.lit(1.0))}
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), v.alias("y_pred")) for m, v in models.items()])
+    return agg.select("e", "c", "step", F.explode(rows).alias("m")).select("e", "c", "step", "m.model", "m.y_pred")
+
+
+def ramadan_share(month: Column, dates: Sequence[tuple[str, str]]) -> Column:
+    """Share of the month's days that fall into one of the date ranges (both ends included)."""
+    first, end = F.trunc(month, "month"), F.last_day(month)
+    days = [F.greatest(F.lit(0), F.datediff(F.least(F.lit(b).cast("date"), end), F.greatest(F.lit(a).cast("date"), first)) + 1) for a, b in dates]
+    total = days[0]
+    for d in days[1:]:
+        total = total + d
+    return total / F.day(end)
