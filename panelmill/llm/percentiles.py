@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.sources.tables import durable
+
 
 def sketched(x: Column, rel_error: float) -> Column:
     """The representative of x: within rel_error * |x| of it, and the same for all values of a cell; x itself for rel_error 0.
@@ -75,6 +77,7 @@ def percentiles(summary: DataFrame, group: Sequence[str], probs: Sequence[float]
     """
     packed = F.struct(*[F.col(f"`{g}`") for g in group], "measure")
     s = combine(summary.select(packed.alias("_g"), "measure", "kind", "value", "n"), ["_g"]).drop("measure")
+    s = durable(s, "cells")
     count = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
     counts = s.groupBy("_g").agg(count("value").alias("n"), count("null").alias("n_null"), count("nan").alias("n_nan"), count("inf").alias("n_inf"))
     steps = [round(p * 10_000) for p in probs]
