@@ -26,10 +26,14 @@ def word_classes(df: DataFrame, item: str, tokens: Column) -> tuple[DataFrame, D
     """
     hashes = F.array_sort(F.transform(tokens, lambda w: F.xxhash64(w)))
     rows = df.select(F.col(f"`{item}`").alias("item"), hashes.alias("hashes")).where("item is not null and size(hashes) > 0")
-    rows = durable(rows.select("item", "hashes", F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(5), F.reverse("hashes")).alias("d2")), "sets")
-    name = rows.groupBy("d1", "d2").agg(F.min("item").alias("class_id"))
-    named = rows.join(name, ["d1", "d2"])
-    return named.select("item", "class_id").distinct(), named.where("item = class_id").select("class_id", "hashes").dropDuplicates(["class_id"])
+    named = durable(rows.select("item", F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(5), F.reverse("hashes")).alias("d2")).distinct(), "digests")
+    named = named.join(named.groupBy("d1", "d2").agg(F.min("item").alias("class_id")), ["d1", "d2"]).select("item", "class_id", "d1", "d2")
+    named = durable(named, "members")
+    # the words themselves are read again for one row of each class, which is cheaper than keeping those of all rows
+    first = named.where("item = class_id").select("item", "d1", "d2")
+    digest = [F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(5), F.reverse("hashes")).alias("d2")]
+    classes = rows.select("item", "hashes", *digest).join(first, ["item", "d1", "d2"], "left_semi").groupBy("item").agg(F.first("hashes").alias("hashes"))
+    return named.select("item", "class_id").distinct(), classes.select(F.col("item").alias("class_id"), "hashes")
 
 
 def signatures(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> DataFrame:
