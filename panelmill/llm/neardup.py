@@ -30,9 +30,10 @@ def word_classes(df: DataFrame, item: str, tokens: Column) -> tuple[DataFrame, D
     named = named.join(named.groupBy("d1", "d2").agg(F.min("item").alias("class_id")), ["d1", "d2"]).select("item", "class_id", "d1", "d2")
     named = durable(named, "members")
     # the words themselves are read again for one row of each class, which is cheaper than keeping those of all rows
+    # (joined on the item alone, so that the grouping needs no second exchange)
     first = named.where("item = class_id").select("item", "d1", "d2")
-    digest = [F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(5), F.reverse("hashes")).alias("d2")]
-    classes = rows.select("item", "hashes", *digest).join(first, ["item", "d1", "d2"], "left_semi").groupBy("item").agg(F.first("hashes").alias("hashes"))
+    same = (F.xxhash64("hashes") == F.col("d1")) & (F.xxhash64(F.lit(5), F.reverse("hashes")) == F.col("d2"))
+    classes = rows.join(first, "item").where(same).groupBy("item").agg(F.first("hashes").alias("hashes"))
     return named.select("item", "class_id").distinct(), classes.select(F.col("item").alias("class_id"), "hashes")
 
 
