@@ -20,7 +20,7 @@ class Chart:
     reading is suspected. floor: least scale, in units of the charted value. longest: a
     deviation of more than so many neighbouring readings is a new level, not a spike.
     run: so many equal neighbouring readings are a stuck sensor. start: readings that set
-    the first mean.
+    the first mean. sources: a seasonal profile needs so many sources.
     """
 
     weight: float = 0.3
@@ -29,6 +29,7 @@ class Chart:
     longest: int = 2
     run: int = 4
     start: int = 5
+    sources: int = 20
 
 
 def latest_valid(df: DataFrame, key: list[str], value: str, version: str) -> DataFrame:
@@ -68,12 +69,14 @@ def implausible(readings: DataFrame, source: list[str], step: str, value: str, l
             own.select(F.col(season_by).alias("_c"), "_med", F.explode("_s").alias("_r"))
             .where("_r._y is not null")
             .groupBy("_c", F.col("_r._t").alias("_t"))
-            .agg(F.percentile_approx(F.col("_r._y") - F.col("_med"), 0.5, 2000).alias("_p"))
+            .agg(F.percentile_approx(F.col("_r._y") - F.col("_med"), 0.5, 2000).alias("_p"), F.count(F.lit(1)).alias("_n"))
             .groupBy("_c")
-            .agg(F.map_from_entries(F.collect_list(F.struct("_t", "_p"))).alias("_profile"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("_t", "_p"))).alias("_profile"), F.max("_n").alias("_n"))
+            .where(F.col("_n") >= chart.sources)
+            .drop("_n")
         )
         series = series.join(profile, F.col(season_by).eqNullSafe(F.col("_c")), "left").drop("_c")
-        series = series.withColumn("_s", F.transform("_s", lambda s: F.struct(s["_t"], s["_x"], (s["_y"] - F.element_at("_profile", s["_t"])).alias("_y"), s["_bad"]))).drop("_profile")
+        series = series.withColumn("_s", F.transform("_s", lambda s: F.struct(s["_t"], s["_x"], (s["_y"] - F.coalesce(F.try_element_at("_profile", s["_t"]), F.lit(0.0))).alias("_y"), s["_bad"]))).drop("_profile")
     flat = series.select(*source, *[F.col("_s").getField(c).alias(c) for c in ("_t", "_x", "_y", "_bad")])
     kinds = ", ".join(f"`{c}` {flat.schema[c].dataType.simpleString()}" for c in source)
 

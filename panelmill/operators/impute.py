@@ -94,7 +94,7 @@ def impute_chained(df: DataFrame, numeric: dict[str, tuple[float, float]], categ
                 out[f"_i_{c}"] = np.where(np.isfinite(own), own, v if first[f"{c}|m"] is not None else np.nan)
             for j, c in enumerate(plan.categorical):
                 names = np.array([*levels[c], None], dtype=object)
-                out[f"_i_{c}"] = out[f"_i_{c}"].where(out[f"_i_{c}"].notna(), pd.Series(names[np.minimum(cat[:, j], len(levels[c]))], index=out.index))
+                out[f"_i_{c}"] = out[f"_i_{c}"].where(out[f"_i_{c}"].notna(), pd.Series(names[np.where(cat[:, j] < 0, len(levels[c]), cat[:, j])], index=out.index))
             yield out
 
     marks = [F.col(f"_i_{c}").isNull().alias(f"{c}_filled") for c in fields]
