@@ -114,7 +114,7 @@ def latent_basis(tokens: DataFrame, idf: np.ndarray, rank: int, share: float, se
                 z[s[start]] += np.add.reduceat(y[order], start, axis=0)
         z = z[:size] * idf[:, None].astype(np.float32)
         used = np.flatnonzero(np.abs(z).sum(1))
-        yield pd.DataFrame({"k": used, "v": list(z[used])})
+        yield pd.DataFrame({"k": used, "v": pd.Series(list(z[used]), dtype=object)})
 
     chosen = tokens.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = chosen.select("words").mapInPandas(sketch, "k long, v array<float>")

@@ -52,9 +52,10 @@ def apportion(shares: dict[str, float], caps: dict[str, int], seats: int) -> dic
     fewer seats than asked for, all of them are filled.
     """
     names = [s for s in shares if shares[s] > 0 and caps.get(s, 0) > 0]
-    seats = min(seats, sum(caps[s] for s in names))
+    if seats >= sum(caps[s] for s in names):
+        return {s: caps[s] if s in names else 0 for s in shares}
     give = lambda d: {s: min(caps[s], int(shares[s] / d + 0.5)) for s in names}
-    low, high = 1e-300, 2 * max([shares[s] for s in names], default=1.0) + 1
+    low, high = min(shares[s] / (2 * caps[s] + 2) for s in names), 2 * max(shares[s] for s in names) + 1
     for _ in range(2000):
         mid = (low * high) ** 0.5
         if sum(give(mid).values()) > seats:
