@@ -72,11 +72,10 @@ class Models:
         return start, np.add.reduceat((~stop).astype(int), start), sums
 
 
-def estimate(ids: np.ndarray, sentence: np.ndarray, weight: np.ndarray, size: int, weights=(0.4, 0.5, 0.1), doubt: float = 100.0) -> tuple[np.ndarray, np.ndarray]:
+def estimate(ids: np.ndarray, sentence: np.ndarray, weight: np.ndarray, size: int, weights=(0.4, 0.5, 0.1)) -> tuple[np.ndarray, np.ndarray]:
     """Jelinek-Mercer models: pair, word and background word frequencies, mixed by `weights`.
 
-    A word that a model has seldom seen says little about the next one: the share of its pairs
-    is damped by `doubt` occurrences. weight has a row per sentence and a column per model, the last one being the background.
+    weight has a row per sentence and a column per model, the last one being the background.
     """
     before = np.concatenate([[_STOP], ids[:-1]]).astype(np.int64)
     use = ids != _STOP
@@ -95,7 +94,7 @@ def estimate(ids: np.ndarray, sentence: np.ndarray, weight: np.ndarray, size: in
     ground = (uni[:, -1:] + 0.5) / (uni[:, -1:].sum() + 0.5 * size)
     one = uni / np.maximum(uni.sum(0), 1e-9)
     low = weights[1] * one + weights[2] * ground
-    high = weights[0] * bi / (hist[pairs // size] + doubt) + low[pairs % size]
+    high = weights[0] * bi / np.maximum(hist[pairs // size], 1e-9) + low[pairs % size]
     return pairs, np.log(np.vstack([low, high])).astype(np.float32)
 
 
@@ -105,7 +104,7 @@ def lead(sums: np.ndarray) -> np.ndarray:
     return order[:, -1] - order[:, -2]
 
 
-def train(rows: list[tuple[str, set[str]]], subjects: list[str], rounds: int = 6, least: int = 3, trust: float = 3.0, sure: float = 8.0) -> Models:
+def train(rows: list[tuple[str, set[str]]], subjects: list[str], rounds: int = 4, least: int = 3, trust: float = 3.0, sure: float = 3.0) -> Models:
     """Models from labelled documents (text, labels), labels being incomplete and partly wrong.
 
     The first models take every sentence of a document for its labels, in equal parts.
