@@ -1,0 +1,10 @@
+"""Column functions of the library in one place."""
+
+from panelmill.operators.asof import month_number
+from panelmill.operators.external import hash_share, host_name, normalised_name
+from panelmill.operators.impute import usable_number, usable_text
+from panelmill.operators.news import plain_text
+from panelmill.operators.panel import finite, pct_rank, quantile_bin, ramadan_share
+from panelmill.operators.shocks import array_median, shock_type
+
+__all__ = ["array_median", "finite", "hash_share", "host_name", "month_number", "normalised_name", "pct_rank", "plain_text", "quantile_bin", "ramadan_share", "shock_type", "usable_number", "usable_text"]
