@@ -21,19 +21,26 @@ def _forecast_values(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return df.select(*keep, "y_true", "y_pred", row_digest(df)[0]).distinct().drop("_d1")
 
 
-def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = percentiles.summaries(_forecast_values(spark, sf_dir, "category", "step"), ["category", "step"], ["y_true", "y_pred"], REL_ERROR)
-    return percentiles.percentiles(cells, ["category", "step"], PROBS)
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mergeable summaries per run_date, written to the shared folder.
 
+    Rows are spread by day, group and a salt of their digest, so that one exchange serves the
+    dropping of copies and the counting, and a hot group is counted by as many tasks as salts.
+    """
+    df = read_table(spark, sf_dir, "forecasts")
+    salts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    group = ["run_date", "category", "step", "salt"]
+    rows = df.select(*group[:3], "y_true", "y_pred", row_digest(df)[0]).withColumn("salt", F.pmod("_d1", F.lit(salts)))
+    rows = rows.repartition(*group).distinct().drop("_d1")
+    return durable(percentiles.summaries(rows, group, ["y_true", "y_pred"], REL_ERROR), "days")
 
-def p1_daily_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    group = ["run_date", "category", "step"]
-    return percentiles.summaries(_forecast_values(spark, sf_dir, *group), group, ["y_true", "y_pred"], REL_ERROR)
+
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.percentiles(_daily(spark, sf_dir), ["category", "step"], PROBS)
 
 
-def p1_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = durable(p1_daily_summaries(spark, sf_dir), "days")
-    return percentiles.percentiles(days, ["category", "step"], PROBS)
+def p1_daily_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.combine(_daily(spark, sf_dir), ["run_date", "category", "step"])
 
 
 def p1_percentiles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +108,6 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_daily_summaries": p1_daily_summaries,
-    "p1_combined_days": p1_combined_days,
     "p1_percentiles_exact": p1_percentiles_exact,
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
