@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelmill.operators import metrics, selection
+from panelmill.operators.asof import month_number
 from panelmill.operators.panel import quantile_bin
 from panelmill.plans.panels import TOTAL, get_dense, get_panel, get_regions
 from panelmill.plans.registry import Registry
@@ -271,6 +272,33 @@ def ref_g19_cluster_bootstrap(spark, sf_dir):
     return means.groupBy("category").agg(F.percentile("m", 0.025).alias("low"), F.avg("m").alias("mean"), F.percentile("m", 0.975).alias("high"))
 
 
+@REG.add(f"WITH {PROTOCOL}, s AS (SELECT DISTINCT territory_id, CASE WHEN is_capital = '1' THEN 'capital' WHEN is_capital = '0' THEN 'other' ELSE 'unknown' END AS part FROM territory_static) SELECT part, model, CAST(horizon AS INT) AS horizon, {METRICS} FROM pr JOIN s USING (territory_id) WHERE y_pred IS NOT NULL GROUP BY 1, 2, 3", METRIC_NAMES)
+def ref_e10_subgroups(spark, sf_dir):
+    part = F.when(F.col("is_capital") == "1", "capital").when(F.col("is_capital") == "0", "other").otherwise("unknown")
+    s = read_table(spark, sf_dir, "territory_static").select("territory_id", part.alias("part")).distinct()
+    return metrics.metric_table(get_protocol(spark, sf_dir).join(s, "territory_id"), ["part", "model", "horizon"])
+
+
+@REG.add(f"WITH {DENSE}, ev AS (SELECT DISTINCT territory_id AS e, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS t FROM top_shocks_news WHERE \"уровень\" = 'шок') SELECT d.e, d.c, d.t, d.y FROM dense d SEMI JOIN ev ON d.e = ev.e AND d.t = ev.t + 1 WHERE d.y IS NOT NULL", "y")
+def ref_j15_month_after_event(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "top_shocks_news").where(F.col("уровень") == "шок").select(F.col("territory_id").alias("e"), (month_number(F.col("month")) + 1).alias("t")).distinct()
+    return get_dense(spark, sf_dir).where("y is not null").join(ev, ["e", "t"], "left_semi").select("e", "c", "t", "y")
+
+
+@REG.add("SELECT territory_id, string_agg(month, '|' ORDER BY month) AS months, count(*) AS n FROM (SELECT DISTINCT territory_id, month FROM top_shocks_news) GROUP BY territory_id")
+def ref_g11_joined_months(spark, sf_dir):
+    s = read_table(spark, sf_dir, "top_shocks_news").select("territory_id", "month").distinct()
+    return s.groupBy("territory_id").agg(F.array_join(F.array_sort(F.collect_list("month")), "|").alias("months"), F.count(F.lit(1)).alias("n"))
+
+
+@REG.add(f"WITH {DENSE}, f AS (SELECT DISTINCT territory_id AS e, month FROM top_shocks_news WHERE \"уровень\" = 'шок'), w AS (SELECT DISTINCT territory_id AS e, month FROM top_shocks_news WHERE \"уровень\" = 'внимание') SELECT 'both' AS part, count(*) AS n FROM (SELECT e FROM f INTERSECT SELECT e FROM w) UNION ALL SELECT 'shock only', count(*) FROM (SELECT e FROM f EXCEPT SELECT e FROM w) UNION ALL SELECT 'watch only', count(*) FROM (SELECT e FROM w EXCEPT SELECT e FROM f)")
+def ref_s02_sets_of_entities(spark, sf_dir):
+    s = read_table(spark, sf_dir, "top_shocks_news").groupBy("territory_id").agg(F.max((F.col("уровень") == "шок").cast("int")).alias("f"), F.max((F.col("уровень") == "внимание").cast("int")).alias("w"))
+    n = lambda c, name: F.struct(F.lit(name).alias("part"), F.count(F.when(c, 1)).alias("n"))
+    f, w = F.coalesce("f", F.lit(0)) == 1, F.coalesce("w", F.lit(0)) == 1
+    return s.agg(F.array(n(f & w, "both"), n(f & ~w, "shock only"), n(w & ~f, "watch only")).alias("x")).select(F.explode("x").alias("x")).select("x.part", "x.n")
+
+
 @REG.add()
 def ref_m08_ridge(spark, sf_dir):
     return _one_month(spark, sf_dir, "ridge")
