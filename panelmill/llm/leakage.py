@@ -14,6 +14,8 @@ from panelmill.sources.tables import durable
 
 BLOCK = 16  # words; a passage of the corpus is two neighbouring blocks
 PASSAGE, STRIDE = 24, 8  # words of a query passage, and from one to the next
+SEED, PAD = 4, 64  # consecutive words of an item that are searched for exactly; words between two items
+OUT, IN = 5, 6  # words by which the end of an alignment may move outwards and inwards
 
 
 class Items:
@@ -131,7 +133,13 @@ def latent_basis(tokens: DataFrame, idf: np.ndarray, rank: int, share: float, se
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best local alignment of each row of a with the row of b: words of a and of b that it spans, and words that agree.
+    """Best local alignment of each row of a with the row of b: words of a and of b that it spans, and words that agree."""
+    a0, a1, b0, b1, same = align_ends(a, b)
+    return a1 - a0, b1 - b0, same
+
+
+def align_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignment of each row of a with the row of b: start and end in a, start and end in b, words that agree.
 
     Longest common subsequence with a price: an agreeing word counts 2, a changed, added
     or lost one -3. Negative numbers never agree.
@@ -159,7 +167,109 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
         end[more] = np.stack([np.full(count, i), j], 1)[more]
         prev = cur
     mask = (np.int64(1) << 14) - 1
-    return end[:, 0] - ((best >> 14) & mask), end[:, 1] - (best & mask), (best >> 28) & ((np.int64(1) << 12) - 1)
+    return (best >> 14) & mask, end[:, 0], best & mask, end[:, 1], (best >> 28) & ((np.int64(1) << 12) - 1)
+
+
+def _side(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ways to move one end (word i of a, word j of b) outwards or inwards: words of a, of b and agreeing words that each adds; impossible ways add minus 99."""
+    r = np.arange(len(a))
+    at = lambda x, k: np.where((k >= 0) & (k < x.shape[1]), x[r, np.clip(k, 0, x.shape[1] - 1)], -3)
+    da, db, dm = [0], [0], [np.zeros(len(a), np.int64)]
+    for shift in (0, 1, -1):
+        total, possible = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+        for k in range(OUT):
+            w, v = at(a, i + step * (k + (shift < 0))), at(b, j + step * (k + (shift > 0)))
+            possible &= (w >= 0) & (v > -3)
+            total = total + ((w == v) & (w >= 0))
+            da.append(k + 1 + (shift < 0))
+            db.append(k + 1 + (shift > 0))
+            dm.append(np.where(possible, total, -99))
+    total = np.zeros(len(a), np.int64)
+    for k in range(IN):
+        total = total - (at(a, i - step * (k + 1)) == at(b, j - step * (k + 1)))
+        da.append(-k - 1)
+        db.append(-k - 1)
+        dm.append(total)
+    return np.array(da), np.array(db), np.stack(dm, 1)
+
+
+def stretch(a: np.ndarray, b: np.ndarray, ends: tuple[np.ndarray, ...], least: int, agree: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a and agreeing words of the stretch with most agreeing words that holds `least` words and the part `agree`, near the ends of an alignment; 0 where there is none.
+
+    The price of align() trims a changed word that has fewer than two agreeing words outside,
+    and carries an alignment over changed words to chance matches; here either end moves up
+    to OUT words outwards (one added or lost word among them) or IN inwards, and changed
+    words count as part of the stretch. Negative numbers of a are padding; -3 of b is no word.
+    """
+    a0, a1, b0, b1, same = ends
+    la, lb, lm = _side(a, b, a0 - 1, b0 - 1, -1)
+    ra, rb, rm = _side(a, b, a1, b1, 1)
+    span = (a1 - a0)[:, None, None] + la[:, None] + ra
+    other = (b1 - b0)[:, None, None] + lb[:, None] + rb
+    hit = same[:, None, None] + lm[:, :, None] + rm[:, None, :]
+    ok = (span >= least) & (hit >= agree * np.maximum(span, other))
+    best = np.where(ok, hit * 1024 - span, -1).reshape(len(a), -1).argmax(1)
+    r = np.arange(len(a))
+    good = ok.reshape(len(a), -1)[r, best]
+    return np.where(good, span.reshape(len(a), -1)[r, best], 0), np.where(good, hit.reshape(len(a), -1)[r, best], 0)
+
+
+class Seeds:
+    """Exact search for items: places where SEED consecutive words of an item stand in a document.
+
+    A stretch of 20 words with four changed, added or lost words still holds four
+    consecutive words unchanged, so no such leak is passed over.
+    """
+
+    def __init__(self, items: list[np.ndarray]):
+        gap = [-2] * PAD
+        self.words = np.array([*gap, *[w for x in items for w in (*x, *gap)]], np.int32)
+        owner = np.concatenate([np.full(PAD, -1), *[np.full(len(x) + PAD, k) for k, x in enumerate(items)]])
+        key, ok = self.keys(self.words)
+        at = np.flatnonzero(ok)
+        at = at[np.argsort(key[at], kind="stable")]
+        self.key, self.at, self.owner = key[at], at, owner
+
+    @staticmethod
+    def keys(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the SEED words from each place on, and whether all of them are words of the items."""
+        n = max(0, len(flat) - SEED + 1)
+        key, ok = np.zeros(n, np.uint64), np.ones(n, bool)
+        for k in range(SEED):
+            ok &= flat[k : k + n] >= 0
+            key = key * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n].astype(np.uint64) + np.uint64(1)
+        return key, ok
+
+    def find(self, flat: np.ndarray, first: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item), distinct: blocks where a seed begins that lies in `least` words of which the part 0.8 is in step with the item's, up to three words off.
+
+        first and end bound the document of each block, in words of flat.
+        """
+        key, ok = self.keys(flat)
+        p = np.flatnonzero(ok)
+        p = p[p + SEED <= end[p // BLOCK]]
+        lo, hi = (np.searchsorted(self.key, key[p], side) for side in ("left", "right"))
+        many = hi - lo
+        p, lo, many = p[many > 0], lo[many > 0], many[many > 0]
+        p, q = np.repeat(p, many), self.at[np.repeat(lo - many.cumsum() + many, many) + np.arange(many.sum())]
+        # of seeds that follow each other in a block the first stands for all: moved back to it, no stretch loses a word in step
+        new = (p % BLOCK == 0) | (flat[p - 1] != self.words[q - 1])
+        p, q = p[new], q[new]
+        around, off = np.arange(SEED - least, least), 3
+        wide = np.arange(around[0] - off, around[-1] + off + 1)
+        keep = np.zeros(len(p), bool)
+        for s in range(0, len(p), 4096):
+            at = p[s : s + 4096, None] + wide
+            b = p[s : s + 4096, None] // BLOCK
+            text = np.where((at >= first[b]) & (at < end[b]), flat[np.clip(at, 0, len(flat) - 1)], -1)
+            item = self.words[np.clip(q[s : s + 4096, None] + around, 0, len(self.words) - 1)]
+            same = np.zeros(item.shape, bool)
+            for k in range(2 * off + 1):
+                same |= item == text[:, k : k + item.shape[1]]
+            run = np.pad(same.cumsum(1, dtype=np.int16), ((0, 0), (1, 0)))
+            keep[s : s + 4096] = (run[:, least:] - run[:, : run.shape[1] - least]).max(1) >= 0.8 * least
+        found = np.unique(np.stack([p[keep] // BLOCK, self.owner[q[keep]]]), axis=1)
+        return found[0], found[1]
 
 
 def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, rank: int = 64, cosine: float = 0.72, least: int = 20, agree: float = 0.875, agree_long: float = 0.83, fit_blocks: int = 60_000, items_per_pass: int = 1000, seed: int = 3) -> DataFrame:
@@ -178,7 +288,9 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, rank: int
     passage frequencies over the whole corpus; latent basis by a distributed randomised
     SVD of the TF-IDF blocks, fitted on about fit_blocks blocks (hash sample; all statistics and
     the search cover every document); cosine search of every passage of every
-    document; count of common words; alignment. Items are the query set and are
+    document and count of common words; beside it an exact search for four consecutive
+    words of an item, which also finds short leaks that the words around them hide from
+    the cosine; alignment, whose ends then move so that changed words there count. Items are the query set and are
     taken in passes of items_per_pass, so what is sent to the tasks is bounded; the
     corpus is never shuffled.
     """
@@ -217,6 +329,7 @@ def _one_pass(docs, doc, text, held: Items, rank, cosine, least, agree, agree_lo
     for k, w in enumerate(held.words):
         item_words[k, : len(w)] = w
     answers, item_ids, owner, padded = held.answers, np.array(held.ids), held.owner, held.padded
+    seeds, passages_of = Seeds(held.words), [np.flatnonzero(owner == k) for k in range(len(held.words))]
 
     def search(batches):
         for pdf in batches:
@@ -224,7 +337,7 @@ def _one_pass(docs, doc, text, held: Items, rank, cosine, least, agree, agree_lo
                 yield from _search(pdf)
 
     def _search(pdf):
-        flat, owner_doc, _ = _flat(pdf)
+        flat, owner_doc, start = _flat(pdf)
         vec = _project(flat, table)
         vec[:-1] += np.where((owner_doc[1:] == owner_doc[:-1])[:, None], vec[1:], 0)
         n = np.linalg.norm(vec, axis=1, keepdims=True)
@@ -236,8 +349,8 @@ def _one_pass(docs, doc, text, held: Items, rank, cosine, least, agree, agree_lo
             hits.append(np.stack([lo + at // score.shape[1], at % score.shape[1], (score.ravel()[at] * 1e6).astype(np.int64)]))
         block, passage, score = np.concatenate(hits, axis=1)
         ext = np.concatenate([np.full(2 * BLOCK, -1, np.int32), flat, np.full(4 * BLOCK, -1, np.int32)])
-        end = np.searchsorted(owner_doc, owner_doc, side="right") * BLOCK
-        first = np.searchsorted(owner_doc, owner_doc, side="left") * BLOCK
+        first = start[owner_doc] * BLOCK
+        end = first + pdf["words"].map(len).to_numpy()[owner_doc]
         keep = np.zeros(len(block), bool)
         for lo in range(0, len(block), 4096):
             b = block[lo : lo + 4096]
@@ -246,7 +359,9 @@ def _one_pass(docs, doc, text, held: Items, rank, cosine, least, agree, agree_lo
             p = padded[passage[lo : lo + 4096]]
             common = (p[:, :, None] == window[:, None, :]).any(2).sum(1)
             keep[lo : lo + 4096] = common >= 0.6 * least
-        block, item, score = block[keep], owner[passage[keep]], score[keep]
+        seed_block, seed_item = seeds.find(flat, first, end, least)
+        seed_score = np.array([(vec[b] @ query[:, passages_of[k]]).max() * 1e6 for b, k in zip(seed_block, seed_item)], np.int64)
+        block, item, score = np.append(block[keep], seed_block), np.append(owner[passage[keep]], seed_item), np.append(score[keep], seed_score)
         key, inverse = np.unique(block * len(item_ids) + item, return_inverse=True)
         if not len(key):
             return
@@ -257,11 +372,16 @@ def _one_pass(docs, doc, text, held: Items, rank, cosine, least, agree, agree_lo
         for lo in range(0, len(key), 1024):
             b, k = block[lo : lo + 1024], item[lo : lo + 1024]
             at = (b * BLOCK)[:, None] + np.arange(-2 * BLOCK, 4 * BLOCK)
-            segment = np.where((at >= first[b][:, None]) & (at < end[b][:, None]), ext[at + 2 * BLOCK], -1)
-            spans, other, same = align(item_words[k], segment)
+            segment = np.where((at >= first[b][:, None]) & (at < end[b][:, None]), ext[at + 2 * BLOCK], -3)
+            ends = align_ends(item_words[k], segment)
+            spans, other, same = ends[1] - ends[0], ends[3] - ends[2], ends[4]
             short = same >= agree * np.maximum(spans, other)
             long = (spans >= 1.2 * least) & (same >= agree_long * np.maximum(spans, 0.8 * other))
             ok = (spans >= least) & (short | long)
+            near = np.flatnonzero(~ok & (spans >= least - 2 * OUT) & (same >= agree * least - 2 * OUT))
+            if len(near):
+                spans[near], same[near] = stretch(item_words[k[near]], segment[near], tuple(x[near] for x in ends), least, agree)
+                ok[near] = spans[near] > 0
             rows.append(pd.DataFrame({"d": owner_doc[b[ok]], "k": k[ok], "span": spans[ok], "agreeing": same[ok], "cosine": top[lo : lo + 1024][ok] / 1e6}))
         found = pd.concat(rows)
         if not len(found):

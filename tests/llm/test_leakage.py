@@ -79,3 +79,25 @@ def test_alignment():
 
 def test_words_have_one_spelling():
     assert [skeleton(w) for w in words("Вода&nbsp;<i>тОпь</i> э­то")] == [skeleton(w) for w in words("вoдa топь это")]
+
+
+def test_short_leaks_in_hosts_of_the_items_own_words(spark):
+    r = random.Random(11)
+    texts = [r.choices(VOCAB, k=80) for _ in range(40)]
+    known = [w for t in texts for w in t]
+    docs, want = [], set()
+    for d in range(300):
+        ws, i = r.choices(known, k=r.randint(60, 200)), r.randrange(40)
+        n = r.choice([14, 20, 20, 21, 22, 23])
+        s = r.randrange(0, 81 - n)
+        part = texts[i][s : s + n]
+        for k in [(), (9,), (1, n - 2), (0, 8), (2, n - 1)][d % 5] if n >= 20 else ():
+            part[k] = "иное"
+        at = r.randrange(len(ws))
+        ws[at:at] = part
+        docs.append((d, " ".join(ws)))
+        if n >= 20:
+            want.add((d, i))
+    items = spark.createDataFrame([(i, " ".join(t), "") for i, t in enumerate(texts)], "item_id long, text string, answer string")
+    got = {(x["doc_id"], x["item_id"]) for x in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items).collect()}
+    assert got == want
