@@ -56,3 +56,16 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)]
     roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(roots[i] == 0 for i in range(41)) and all(roots[k] == 100 for k in range(100, 130))
+
+
+def test_headline_pairs_near_the_threshold_are_not_missed(spark, monkeypatch):
+    from panelmill.llm import neardup, queries
+
+    n, rows = 20_000, []
+    for i in range(n):  # 26 words in both of 40: similarity 0.65
+        w = [f"п{i}с{k}" for k in range(40)]
+        rows += [(2 * i, " ".join(w[:33])), (2 * i + 1, " ".join(w[:26] + w[33:]))]
+    df = spark.createDataFrame(rows, "shock_id long, `заголовки` string")
+    monkeypatch.setattr(queries, "read_table", lambda *a: df)
+    found = queries.p3_found(spark, "").where("shock_b = shock_a + 1 and shock_a % 2 = 0").count()
+    assert n - found <= 0.002 * n
