@@ -20,7 +20,9 @@ class Chart:
     reading is suspected. floor: least scale, in units of the charted value. longest: a
     deviation of more than so many neighbouring readings is a new level, not a spike.
     run: so many equal neighbouring readings are a stuck sensor. start: readings that set
-    the first mean. sources: a seasonal profile needs so many sources.
+    the first mean. sources: a seasonal profile needs so many sources. prior: the pooled
+    scale (median over the sources) weighs as much as so many differences of readings when a
+    source's own scale is drawn towards it, on logarithms; 0 leaves the scale as it is.
     """
 
     weight: float = 0.3
@@ -30,6 +32,7 @@ class Chart:
     run: int = 4
     start: int = 5
     sources: int = 20
+    prior: float = 0.0
 
 
 def latest_valid(df: DataFrame, key: list[str], value: str, version: str) -> DataFrame:
@@ -62,8 +65,9 @@ def implausible(readings: DataFrame, source: list[str], step: str, value: str, l
     level = F.ln(F.when(good & (x > 0), x)) if log else F.when(good, x)
     rows = readings.where(usable & F.col(step).isNotNull()).select(*source, F.col(step).cast("int").alias("_t"), x.alias("_x"), level.alias("_y"), impossible.alias("_bad"))
     series = rows.groupBy(*source).agg(F.sort_array(F.collect_list(F.struct("_t", "_x", "_y", "_bad"))).alias("_s"))
-    if season_by:
+    if season_by or chart.prior:
         series = durable(series, "series")
+    if season_by:
         own = series.withColumn("_med", _median(F.filter(F.col("_s").getField("_y"), lambda y: y.isNotNull())))
         profile = (
             own.select(F.col(season_by).alias("_c"), "_med", F.explode("_s").alias("_r"))
@@ -80,10 +84,19 @@ def implausible(readings: DataFrame, source: list[str], step: str, value: str, l
     flat = series.select(*source, *[F.col("_s").getField(c).alias(c) for c in ("_t", "_x", "_y", "_bad")])
     kinds = ", ".join(f"`{c}` {flat.schema[c].dataType.simpleString()}" for c in source)
 
+    def scales(batches):
+        for pdf in batches:
+            if len(pdf):
+                x, y, _, _ = _grid(pdf)
+                y = np.where(stuck_runs(x, chart.run), np.nan, y)
+                yield pd.DataFrame({"s": _scale(y, chart.floor)[np.isfinite(y).sum(1) >= 3]})
+
+    pooled = flat.select("_t", "_x", "_y", "_bad").mapInPandas(scales, "s double").agg(F.percentile_approx("s", 0.5, 10_000)).first()[0] if chart.prior else None
+
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                yield _judge(pdf, source, step, chart)
+                yield _judge(pdf, source, step, chart, pooled)
 
     return flat.mapInPandas(run, f"{kinds}, `{step}` int, reason string")
 
@@ -93,7 +106,8 @@ def _median(a: Column) -> Column:
     return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2)
 
 
-def _judge(pdf: pd.DataFrame, source: list[str], step: str, chart: Chart) -> pd.DataFrame:
+def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Readings, charted values and marks of the impossible, one row per source and one column per step; the first step."""
     n = pdf["_t"].map(len).to_numpy()
     t = np.concatenate(pdf["_t"].to_numpy()).astype(int)
     row, first = np.repeat(np.arange(len(pdf)), n), t.min()
@@ -102,8 +116,13 @@ def _judge(pdf: pd.DataFrame, source: list[str], step: str, chart: Chart) -> pd.
     x[row, t - first] = np.concatenate(pdf["_x"].to_numpy()).astype(float)
     y[row, t - first] = np.concatenate(pdf["_y"].to_numpy()).astype(float)
     bad[row, t - first] = np.concatenate(pdf["_bad"].to_numpy()).astype(bool)
+    return x, y, bad, first
+
+
+def _judge(pdf: pd.DataFrame, source: list[str], step: str, chart: Chart, pooled: float | None) -> pd.DataFrame:
+    x, y, bad, first = _grid(pdf)
     stuck = stuck_runs(x, chart.run)
-    spike = chart_spikes(np.where(stuck, np.nan, y), chart)
+    spike = chart_spikes(np.where(stuck, np.nan, y), chart, pooled)
     reason = np.select([bad, stuck, spike], ["impossible", "stuck", "spike"], "")
     at = np.argwhere(reason != "")
     out = pdf.iloc[at[:, 0]][source].reset_index(drop=True)
@@ -123,10 +142,12 @@ def stuck_runs(x: np.ndarray, least: int) -> np.ndarray:
     return length >= least
 
 
-def chart_spikes(y: np.ndarray, chart: Chart) -> np.ndarray:
+def chart_spikes(y: np.ndarray, chart: Chart, pooled: float | None = None) -> np.ndarray:
     """Mask of the readings that stand outside the limits in the forward and in the backward chart."""
     with np.errstate(invalid="ignore", divide="ignore"):
         scale = _scale(y, chart.floor)
+        if chart.prior and pooled:
+            scale = _shrunk(scale, np.isfinite(y).sum(1), pooled, chart.prior)
         forward, backward = _one_way(y, scale, chart), _one_way(y[:, ::-1], scale, chart)[:, ::-1]
     enough = np.isfinite(y).sum(1) >= 3
     return forward & backward & enough[:, None]
@@ -151,6 +172,13 @@ def _scale(y: np.ndarray, floor: float) -> np.ndarray:
     return np.where(np.isnan(s), np.inf, np.maximum(s, floor))
 
 
+def _shrunk(scale: np.ndarray, readings: np.ndarray, pooled: float, prior: float) -> np.ndarray:
+    """Scales drawn towards the pooled one, the more the fewer readings a source has; unknown (infinite) ones become the pooled one."""
+    n = np.where(np.isfinite(scale), np.maximum(readings - 1, 0), 0)
+    own = np.log(np.where(np.isfinite(scale), scale, pooled))
+    return np.exp((n * own + prior * np.log(pooled)) / (n + prior))
+
+
 def _one_way(y: np.ndarray, scale: np.ndarray, chart: Chart) -> np.ndarray:
     """One pass over time for all sources: mean and scale move by clipped readings only; a run counter tells new levels from spikes."""
     n, T = y.shape

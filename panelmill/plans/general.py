@@ -52,7 +52,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = implausible(panel, ["territory_id", "category"], "t", "value", True, (F.col("value") <= 0) | (F.col("value") == inf), "category")
     z = read_table(spark, sf_dir, "top_shocks_news").select("territory_id", "month", F.col(f"`z: {TOTAL}`").alias("value"), "detected_at")
     z = latest_valid(z, ["territory_id", "month"], "value", "detected_at").withColumn("t", month_number(F.col("month"))).withColumn("category", F.lit(TOTAL))
-    b = implausible(z, ["territory_id", "category"], "t", "value", False, F.abs("value") == inf, None, Chart(limit=9.0, floor=1.2))
+    b = implausible(z, ["territory_id", "category"], "t", "value", False, F.abs("value") == inf, None, Chart(limit=9.0, prior=6.0))
     both = a.withColumn("src_table", F.lit("consumption")).unionByName(b.withColumn("src_table", F.lit("top_shocks_news")))
     return both.select("src_table", "territory_id", "category", month_text(F.col("t")).alias("month"))
 

@@ -57,3 +57,20 @@ def test_operator_on_dirty_rows(spark):
 def test_latest_version(spark):
     df = spark.createDataFrame([(1, 5.0, 1), (1, None, 3), (1, 7.0, 2), (2, 1.0, None), (2, 2.0, 1), (3, 1.0, 1), (3, 4.0, 1)], "k long, v double, w int")
     assert {r["k"]: r["v"] for r in latest_valid(df, ["k"], "v", "w").collect()} == {1: None, 2: 2.0, 3: 4.0}
+
+
+def test_quiet_sources_of_shock_scores_have_smaller_cases(spark, monkeypatch):
+    from panelmill.plans import general
+
+    rng = np.random.default_rng(8)
+    months = [f"2023-{m:02d}" for m in range(1, 13)] + [f"2024-{m:02d}" for m in range(1, 13)]
+    z = rng.normal(0, 1, (40, 24)) * np.where(np.arange(40) < 10, 0.4, 1.5)[:, None]
+    z[0, 9] += 8.0  # 20 scales of a quiet source
+    z[20, 9] += 8.0  # five scales of another
+    z[21, 5] += 30.0
+    rows = [(e, months[t], float(z[e, t]), t) for e in range(40) for t in range(24)]
+    shocks = spark.createDataFrame(rows, f"territory_id long, month string, `z: {general.TOTAL}` double, detected_at long")
+    empty = spark.createDataFrame([], "territory_id long, category string, date string, value double, loaded_at long")
+    monkeypatch.setattr(general, "read_table", lambda spark, folder, name: empty if name == "consumption" else shocks)
+    got = {(r["territory_id"], r["month"]) for r in general.p5_found(spark, "").collect()}
+    assert got == {(0, "2023-10"), (21, "2023-06")}
