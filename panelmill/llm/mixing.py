@@ -94,21 +94,28 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     listed = durable(docs.select("doc_id", source_name(F.col("source")).alias("source"), F.col("n_tokens").cast("bigint")).where("n_tokens > 0").join(names, "source").select("doc_id", "source", "n_tokens", "most"), "listed")
     have = {r["source"]: r["n"] for r in listed.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     want = {r["source"]: r for r in names.collect()}
-    caps = {s: (have.get(s, 0) * want[s]["most"]) // block_tokens for s in want}
-    seats = round((total_tokens or sum(have.values())) / block_tokens)
-    quota = apportion({s: want[s]["target_share"] for s in want}, caps, seats)
+    limit = {s: have[s] * want[s]["most"] for s in want if have.get(s)}
+    whole: set[str] = set()  # sources that cannot fill their seats
+    while True:
+        left = {s: n for s, n in limit.items() if s not in whole}
+        seats = max(0, round(((total_tokens or sum(have.values())) - sum(limit[s] for s in whole)) / block_tokens))
+        quota = apportion({s: want[s]["target_share"] for s in left}, {s: -(-n // block_tokens) for s, n in left.items()}, seats)
+        short = {s for s in left if quota[s] * block_tokens > left[s]}
+        if not short:
+            break
+        whole |= short
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, quota[s], max(1, -(-have[s] // shard_tokens)), have[s]) for s in want if have.get(s) and quota[s]], "source string, seats bigint, shards bigint, tokens bigint")
+    plan = spark.createDataFrame([(s, quota.get(s, 0), max(1, -(-have[s] // shard_tokens)), have[s], s in whole) for s in limit if s in whole or quota[s]], "source string, seats bigint, shards bigint, tokens bigint, whole boolean")
     rows = listed.join(plan, "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = durable(rows.withColumn("block", F.floor((F.sum("n_tokens").over(line) - F.col("n_tokens")) / block_tokens)), "blocks")
-    blocks = rows.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("size"), F.first("seats").alias("seats"), F.first("tokens").alias("tokens"), F.first("most").alias("most"))
-    shards = blocks.groupBy("source", "shard").agg(F.sum("size").alias("own"), F.first("seats").alias("seats"), F.first("tokens").alias("tokens"), F.first("most").alias("most"))
+    blocks = rows.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("size"), F.first("seats").alias("seats"), F.first("tokens").alias("tokens"), F.first("most").alias("most"), F.first("whole").alias("whole"))
+    shards = blocks.groupBy("source", "shard").agg(F.sum("size").alias("own"), F.first("seats").alias("seats"), F.first("tokens").alias("tokens"), F.first("most").alias("most"), F.first("whole").alias("whole"))
     shards = shards.withColumn("base", F.floor(F.col("seats") * F.col("own") / F.col("tokens")))
     per = Window.partitionBy("source")
     shards = shards.withColumn("rest", F.col("seats") - F.sum("base").over(per)).withColumn("rank", F.row_number().over(per.orderBy(F.desc(F.col("own") / (2 * F.col("base") + 1)), "shard")))
     shards = shards.withColumn("tokens_due", (F.col("base") + F.when(F.col("rank") <= F.col("rest"), 1).otherwise(0)) * block_tokens)
-    shards = shards.select("source", "shard", F.least(F.floor(F.col("tokens_due") / F.col("own")), F.col("most")).alias("passes"), "own", "tokens_due")
+    shards = shards.select("source", "shard", F.when(F.col("whole"), F.col("most")).otherwise(F.least(F.floor(F.col("tokens_due") / F.col("own")), F.col("most"))).alias("passes"), "own", "tokens_due")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source", "shard", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
     picked = blocks.select("source", "shard", "block", "size", "most", F.sum("size").over(order).alias("upto")).join(shards, ["source", "shard"])
     extra = (F.col("passes") < F.col("most")) & (F.col("upto") - F.col("size") / 2 <= F.col("tokens_due") - F.col("passes") * F.col("own"))

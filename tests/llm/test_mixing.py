@@ -61,3 +61,13 @@ def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, "hello world" * 5000), (5, "<|endoftext|>")], "id long, t string")
     got = {r["id"]: r["n"] for r in df.select("id", token_count(F.col("t")).alias("n")).collect()}
     assert got[1] == got[2] == 0 and 2 <= got[3] <= 4 and got[4] >= 10_000 and got[5] > 1
+
+
+def test_sources_too_small_for_their_seats_are_taken_whole(spark):
+    docs = [(i, "large", 1000) for i in range(400)] + [(1000 + i, "tiny", 300) for i in range(3)] + [(2000 + i, "odd", 1000) for i in range(11)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("large", 0.7, 2), ("tiny", 0.1, 2), ("odd", 0.2, 3)], "source string, target_share double, max_repeats int")
+    rows = mix(df, targets, total_tokens=300_000, block_tokens=4096).collect()
+    got = {s: sum(r["n_tokens"] * r["repeats"] for r in rows if r["source"] == s) for s in ("large", "tiny", "odd")}
+    assert got["tiny"] == 900 * 2 and got["odd"] == 11_000 * 3
+    assert abs(sum(got.values()) - 300_000) <= 2 * 4096
