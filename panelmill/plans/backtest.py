@@ -63,6 +63,8 @@ def backtest(readings: DataFrame, names: list[str] | None = None) -> DataFrame:
     One forecast per origin serves every horizon. Origins count months from the start of the panel.
     """
     names = names or [*SIMPLE, *SERIES]
+    if unknown := set(names) - {*SIMPLE, *SERIES}:
+        raise ValueError(f"the backtest builds no {', '.join(sorted(unknown))}")
     ends = readings.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
     if ends["a"] is None:
         raise ValueError("the panel is empty")
