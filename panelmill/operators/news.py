@@ -67,7 +67,7 @@ def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, territory_id): documents whose text has a place's name with any ending, for one-word names.
 
     Texts are cut into words and joined on the stem (name without its last two letters), so
-    no text is matched against every place; the full pattern is checked on the matches.
+    no text is matched against every place; the full pattern is not checked on the matches.
     """
     stems = names.select("territory_id", plain_text(F.col("name")).alias("_n")).where(~F.col("_n").contains(" ")).withColumn("_stem", F.expr("left(_n, length(_n) - 2)"))
     tokens = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(plain_text(F.col("text")), F.lit("([а-я]+)"), F.lit(1)))).alias("_w"))
