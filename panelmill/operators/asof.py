@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.functions import month_number
+
 
 def known_asof(
     events: DataFrame,
@@ -65,15 +67,6 @@ def _greater(a: str, b: str) -> Column:
     return F.when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).when(F.col(a) >= F.col(b), F.col(a)).otherwise(F.col(b))
 
 
-def month_number(text: Column) -> Column:
-    """Month ordinal (12 * year + month - 1) of 'YYYY-MM' or 'MM.YYYY'; null for anything else or a month outside 1..12."""
-    t = F.trim(text)
-    iso, dot = F.regexp_extract(t, r"^(\d{4})-(\d{2})$", 0) != "", F.regexp_extract(t, r"^(\d{2})\.(\d{4})$", 0) != ""
-    y = F.when(iso, F.substring(t, 1, 4)).when(dot, F.substring(t, 4, 4)).cast("int")
-    m = F.when(iso, F.substring(t, 6, 2)).when(dot, F.substring(t, 1, 2)).cast("int")
-    return F.when(m.between(1, 12), y * 12 + m - 1)
-
-
 def with_release(quarterly: DataFrame, lags: DataFrame) -> DataFrame:
     """`_known`: the month ordinal in which each row of quarterly was released.
 

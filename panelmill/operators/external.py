@@ -70,19 +70,3 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
 def latest_row(rows: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The values of the row of each key that is last by `order`."""
     return rows.groupBy(*key).agg(F.max(F.struct(*order, *[F.col(v).alias(f"_{v}") for v in values])).alias("_r")).select(*key, *[F.col(f"_r._{v}").alias(v) for v in values])
-
-
-def normalised_name(c: Column) -> Column:
-    """Key for names: lower case, ё as е, letters only, twelve of them."""
-    return F.substring(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"[^a-zа-я]", ""), 1, 12)
-
-
-def host_name(c: Column) -> Column:
-    """Host in lower case without leading www. and then m."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^www\.", ""), r"^m\.", "")
-
-
-def hash_share(path: Column) -> Column:
-    """The 128-bit md5 of a text modulo 10000: a stable draw for sampling."""
-    half = lambda a: F.conv(F.substring(F.md5(path), a, 16), 16, 10).cast("decimal(20,0)")
-    return ((half(1) % 10_000 * (2**64 % 10_000) + half(17) % 10_000) % 10_000).cast("int")

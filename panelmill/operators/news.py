@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.functions import plain_text
+
 #: Word stems of the themes; boundaries are written out so that both regex dialects agree.
 THEMES = {
     "emerg": "(^|[^а-я])(пожар|паводк|наводнен|эвакуац|взрыв|ураган|подтопл)",
@@ -12,11 +14,6 @@ THEMES = {
 }
 
 
-def plain_text(c: Column) -> Column:
-    """Lower case with е for ё."""
-    return F.translate(F.lower(c), "ё", "е")
-
-
 def tag_themes(docs: DataFrame) -> DataFrame:
     """(doc_id, territory_id, t, <theme>...): whether the title and text touch each theme."""
     text = plain_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))

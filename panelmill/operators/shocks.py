@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.operators.panel import pct_rank, quantile_bin, series
+from panelmill.functions import hash_share
+from panelmill.operators.panel import floored_log, quantile_bin, series, with_medians
+from panelmill.operators.ranks import whole_rank
+from panelmill.operators.series import nan_median, per_cell
+from panelmill.sources.tables import durable
 
 MIN_REGION = 5
-#: Categories of an injected shock and their multipliers.
-SCENARIOS = {"all": {"*": 1.0}, "emergency": {"Здоровье": 1.0, "Общественное питание": -0.7, "Транспорт": -0.5, "Продовольствие": 0.5}}
+ALL = "Все категории"
+#: Shocks that are injected and their multipliers by category (None: one category by draw), their sizes, and size classes of recovery.
+SCENARIOS = {
+    "all": {ALL: -1.0, "Продовольствие": -1.0, "Здоровье": -1.0, "Маркетплейсы": -1.0, "Общественное питание": -1.0, "Транспорт": -1.0},
+    "one": None,
+    "emergency": {"Продовольствие": 0.5, "Маркетплейсы": -1.0, "Общественное питание": -1.0, "Транспорт": -0.5, ALL: -1 / 3},
+}
+SIZES = (0.05, 0.10, 0.20, 0.30)
+RECOVERY_EDGES = (0.05, 0.10, 0.20, 0.40)
 
 
 def peer_deviations(dense: DataFrame, regions: DataFrame) -> DataFrame:
@@ -17,10 +29,11 @@ def peer_deviations(dense: DataFrame, regions: DataFrame) -> DataFrame:
     w = series()
     l = F.ln(F.when(F.col("y").isNotNull(), F.greatest("y", F.lit(1.0))))  # noqa: E741
     x = dense.withColumn("l", l).withColumn("g", F.col("l") - F.lag("l", 1).over(w)).withColumn("level_prev", F.lag("y", 1).over(w))
-    x = x.join(regions.select("e", "region"), "e")
-    near, all_ = Window.partitionBy("c", "t", "region"), Window.partitionBy("c", "t")
-    base = F.when(F.count("g").over(near) >= MIN_REGION, F.median("g").over(near)).otherwise(F.median("g").over(all_))
-    return x.withColumn("d", F.col("g") - base).where("d is not null").select("e", "c", "t", "region", "d", "level_prev")
+    x = durable(x.join(regions.select("e", "region"), "e").select("e", "c", "t", "region", "g", "level_prev").where("g is not null"), "growth")
+    near = x.groupBy("c", "t", "region").agg(F.count(F.lit(1)).alias("_n"), F.median("g").alias("_near")).select(F.col("c").alias("_c"), F.col("t").alias("_t"), F.col("region").alias("_region"), F.when(F.col("_n") >= MIN_REGION, F.col("_near")).alias("_near"))
+    x = x.join(near, F.col("c").eqNullSafe(F.col("_c")) & (F.col("t") == F.col("_t")) & F.col("region").eqNullSafe(F.col("_region")), "left").drop("_c", "_t", "_region")
+    x = with_medians(x, ["c", "t"], {"_all": "g"})
+    return x.select("e", "c", "t", "region", (F.col("g") - F.coalesce("_near", "_all")).alias("d"), "level_prev")
 
 
 def forecast_deviations(fc: DataFrame) -> DataFrame:
@@ -32,36 +45,31 @@ def forecast_deviations(fc: DataFrame) -> DataFrame:
 
 def standardise(dev: DataFrame) -> DataFrame:
     """Adds q (size quintile of level_prev within category and month) and z (robust, within category, month and quintile)."""
-    x = dev.withColumn("q", quantile_bin("level_prev", 5, ["c", "t"], ["e"]))
-    w = Window.partitionBy("c", "t", "q")
-    x = x.withColumn("_m", F.median("d").over(w))
-    x = x.withColumn("_s", F.greatest(1.4826 * F.median(F.abs(F.col("d") - F.col("_m"))).over(w), F.lit(1e-4)))
-    return x.withColumn("z", (F.col("d") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+    x = durable(dev.withColumn("q", quantile_bin("level_prev", 5, ["c", "t"], ["e"])), "sized")
+    x = with_medians(x, ["c", "t", "q"], {"_m": "d"})
+    x = with_medians(x, ["c", "t", "q"], {"_s": F.abs(F.col("d") - F.col("_m"))})
+    return x.withColumn("z", (F.col("d") - F.col("_m")) / F.greatest(1.4826 * F.col("_s"), F.lit(1e-4))).drop("_m", "_s")
 
 
-def expanding_scale(z: DataFrame, least: int, warm: int | None, floor: float = 1.0) -> DataFrame:
-    """(e, c, t, vol): 1.4826 MAD of the z of earlier observed months of the series, at least `floor`.
+def expanding_scale(z: DataFrame, least: int, warm: int | None, floor: float = 1.0, x: str = "z") -> DataFrame:
+    """(e, c, t, vol): 1.4826 MAD of the x of earlier months of the series, at least `floor`.
 
     warm months from the start of the whole table share the scale of those months (a
-    look-ahead at the start only); without warm, fewer than `least` earlier months give `floor`.
-    Each row carries its past as an array, bounded by the calendar.
+    look-ahead at the start only); without warm, fewer than `least` earlier months of the
+    table give `floor`. One row a series is shuffled; each month is one pass over a matrix of series.
     """
-    ord_ = z.select("t").distinct().withColumn("j", F.dense_rank().over(Window.orderBy("t")) - 1)
-    x = z.where("z is not null").select("e", "c", "t", "z").join(F.broadcast(ord_), "t")
-    whole = Window.partitionBy("e", "c")
-    x = x.withColumn("_all", F.collect_list(F.struct("j", "z")).over(whole))
-    until = F.greatest(F.col("j"), F.lit(warm)) if warm else F.col("j")
-    earlier = F.filter("_all", lambda p: p["j"] < until)
-    x = x.withColumn("_p", F.transform(earlier, lambda p: p["z"]))
-    med = array_median("_p")
-    x = x.withColumn("_m", med).withColumn("_a", F.transform("_p", lambda v: F.abs(v - F.col("_m"))))
-    scale = F.when(F.size("_p") >= least, F.greatest(1.4826 * array_median("_a"), F.lit(floor))).otherwise(floor)
-    return x.select("e", "c", "t", scale.alias("vol"))
 
+    def scale(v: np.ndarray) -> np.ndarray:
+        out = np.full(v.shape, floor)
+        for j in range(v.shape[1]):
+            past = v[:, : max(j, warm) if warm else j]
+            med = nan_median(past)
+            mad = 1.4826 * nan_median(np.abs(past - med[:, None]))
+            enough = np.isfinite(past).sum(1) >= least
+            out[:, j] = np.where(enough & np.isfinite(mad), np.maximum(mad, floor), floor)
+        return out
 
-def array_median(a: str) -> Column:
-    s, n = F.sort_array(F.col(a)), F.size(a)
-    return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2)
+    return per_cell(z.where(F.col(x).isNotNull()).select("e", "c", "t", x), ["e", "c"], [x], "vol", scale)
 
 
 def rescale(z: DataFrame, vol: DataFrame) -> DataFrame:
@@ -74,9 +82,9 @@ def split_region(z: DataFrame, clip: float = 8.0) -> DataFrame:
     x = z.withColumn("z", F.greatest(F.least("z", F.lit(clip)), F.lit(-clip)))
     size = x.select("region", "t", "e").distinct().groupBy("region", "t").agg(F.count(F.lit(1)).alias("_n"))
     x = x.join(size, ["region", "t"], "left")
-    w = Window.partitionBy("region", "t", "c")
-    x = x.withColumn("z_reg", F.when(F.col("_n") >= MIN_REGION, F.median("z").over(w)).otherwise(0.0))
-    return x.withColumn("z_loc", F.col("z") - F.col("z_reg")).drop("_n")
+    x = with_medians(x, ["region", "t", "c"], {"_m": "z"})
+    x = x.withColumn("z_reg", F.when(F.col("_n") >= MIN_REGION, F.col("_m")).otherwise(0.0))
+    return x.withColumn("z_loc", F.col("z") - F.col("z_reg")).drop("_n", "_m")
 
 
 def top_rms(z: DataFrame, x: str, k: int = 3, fixed: bool = True) -> DataFrame:
@@ -104,9 +112,9 @@ def window_sum(z: DataFrame, x: str) -> DataFrame:
 
 
 def combo(scores: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds combo: the greater of the two percentile ranks (average ties)."""
-    x = scores.withColumn("_one", F.lit(1))
-    return x.withColumn("_a", pct_rank(a, "_one")).withColumn("_b", pct_rank(b, "_one")).withColumn("combo", F.greatest("_a", "_b")).drop("_a", "_b", "_one")
+    """Adds combo: the greater of the two percentile ranks (average ties); no task holds the table."""
+    x = whole_rank(whole_rank(scores, a, "_a"), b, "_b")
+    return x.withColumn("combo", F.greatest(F.col("_a") / F.col("_a_n"), F.col("_b") / F.col("_b_n"))).drop("_a", "_b", "_a_n", "_b_n")
 
 
 def levels(scores: DataFrame, x: str, shock: float = 0.99, watch: float = 0.97) -> DataFrame:
@@ -135,25 +143,34 @@ def persistence(dev: DataFrame, dense: DataFrame) -> DataFrame:
     w = series()
     l = F.ln(F.when(F.col("y").isNotNull(), F.greatest("y", F.lit(1.0))))  # noqa: E741
     x = dense.withColumn("l", l).withColumn("g", F.lead("l", 1).over(w) - F.col("l"))
-    x = x.withColumn("common", F.median("g").over(Window.partitionBy("c", "t"))).withColumn("next", F.lead("l", 1).over(w))
+    x = with_medians(x.withColumn("next", F.lead("l", 1).over(w)), ["c", "t"], {"common": "g"})
     j = dev.join(x.select("e", "c", "t", "l", "next", "common"), ["e", "c", "t"])
     return j.select("e", "c", "t", "d", ((F.col("next") - (F.col("l") - F.col("d")) - F.col("common")) / F.nullif("d", F.lit(0.0))).alias("p"))
 
 
-def jump_z(dense: DataFrame) -> DataFrame:
-    """Simplest detector: robust z of the log growth within category and month."""
-    w, cross = series(), Window.partitionBy("c", "t")
-    l = F.ln(F.when(F.col("y").isNotNull(), F.greatest("y", F.lit(1.0))))  # noqa: E741
-    x = dense.withColumn("l", l).withColumn("g", F.col("l") - F.lag("l", 1).over(w)).withColumn("_m", F.median("g").over(cross))
-    x = x.withColumn("_s", F.greatest(1.4826 * F.median(F.abs(F.col("g") - F.col("_m"))).over(cross), F.lit(1e-4)))
-    return x.select("e", "c", "t", ((F.col("g") - F.col("_m")) / F.col("_s")).alias("z"))
+def jump_deviations(dense: DataFrame) -> DataFrame:
+    """(e, c, t, d, level_prev) of the simplest detector: log growth itself, readings floored at 1; `standardise` makes it comparable."""
+    w = series()
+    x = dense.withColumn("l", floored_log("y")).withColumn("d", F.col("l") - F.lag("l", 1).over(w)).withColumn("level_prev", F.lag("y", 1).over(w))
+    return x.where("d is not null").select("e", "c", "t", "d", "level_prev")
 
 
 def gaps(dense: DataFrame, regions: DataFrame) -> DataFrame:
-    """(e, c, t, g): ln y minus the median of the region's month."""
-    l = F.ln(F.when(F.col("y").isNotNull(), F.greatest("y", F.lit(1.0))))  # noqa: E741
-    x = dense.join(regions.select("e", "region"), "e").withColumn("l", l)
-    return x.select("e", "c", "t", "region", (F.col("l") - F.median("l").over(Window.partitionBy("c", "t", "region"))).alias("g"))
+    """(e, c, t, region, g): ln y (floored at 1) minus the median of the region's month."""
+    x = dense.join(regions.select("e", "region"), "e").withColumn("l", floored_log("y"))
+    return with_medians(x, ["c", "t", "region"], {"_m": "l"}).select("e", "c", "t", "region", (F.col("l") - F.col("_m")).alias("g"))
+
+
+def level_deviations(dense: DataFrame, regions: DataFrame, window: int = 6, least: int = 3) -> DataFrame:
+    """(e, c, t, d, level_prev): level against the region (all, in regions of fewer than five) minus its mean over the months before, if `least` of them are there."""
+    r = regions.select("e", "region").distinct()
+    many = r.join(dense.select("e").distinct(), "e").groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
+    x = durable(dense.join(r, "e").join(many, "region").withColumn("l", floored_log("y")), "levels")
+    x = with_medians(with_medians(x, ["c", "t", "region"], {"_m": "l"}), ["c", "t"], {"_all": "l"})
+    x = x.withColumn("r", F.col("l") - F.when(F.col("_n") >= MIN_REGION, F.col("_m")).otherwise(F.col("_all")))
+    w = series().rowsBetween(-window, -1)
+    x = x.withColumn("d", F.when(F.count("r").over(w) >= least, F.col("r") - F.avg("r").over(w))).withColumn("level_prev", F.lag("y", 1).over(series()))
+    return x.where("d is not null and level_prev is not null").select("e", "c", "t", "d", "level_prev")
 
 
 def level_detector(g: DataFrame, window: int = 6, least: int = 3) -> DataFrame:
@@ -175,27 +192,68 @@ def cusum(z: DataFrame, x: str, k: float = 0.5) -> DataFrame:
     return z.withColumn("cusum", F.greatest(*sums))
 
 
-def inject(dev: DataFrame, keys: DataFrame, scenario: dict[str, float], size: float) -> DataFrame:
-    """dev with d raised by ln(1 + multiplier * size) at the keys (e, t); '*' stands for any category."""
-    mult = F.lit(None).cast("double")
-    for c, m in scenario.items():
-        mult = F.when(F.lit(c == "*") | (F.col("c") == c), F.lit(m)).otherwise(mult)
-    hit = dev.join(keys.select("e", "t", F.lit(True).alias("_hit")), ["e", "t"], "left")
-    return hit.withColumn("d", F.col("d") + F.when(F.col("_hit") & mult.isNotNull(), F.log1p(mult * size)).otherwise(0.0)).drop("_hit")
+def multiplier(scenario: str, pick: str = "pick") -> Column:
+    """Multiplier of the category c in a scenario; null where it is not touched. A scenario of one category hits the one named in column `pick`."""
+    m = SCENARIOS[scenario]
+    if m is None:
+        return F.when(F.col("c") == F.col(pick), F.lit(-1.0))
+    out = F.lit(None).cast("double")
+    for c, v in m.items():
+        out = F.when(F.col("c") == c, F.lit(float(v))).otherwise(out)
+    return out
+
+
+def drawn_category(names: list[str], *key: str) -> Column:
+    """One of the names by the md5 of the key columns: the same in every engine."""
+    return F.element_at(F.array(*[F.lit(c) for c in sorted(names)]), hash_share(F.concat_ws("|", *[F.col(k).cast("string") for k in key])) % len(names) + 1)
+
+
+def inject(dev: DataFrame, keys: DataFrame, scenario: str, size: float) -> DataFrame:
+    """dev with d moved by ln(1 + multiplier * size) at the keys (e, t, and pick for a scenario of one category)."""
+    pick = F.col("pick") if "pick" in keys.columns else F.lit(None).cast("string")
+    hit = dev.join(keys.select("e", "t", pick.alias("_pick"), F.lit(True).alias("_hit")), ["e", "t"], "left")
+    m = multiplier(scenario, "_pick")
+    return hit.withColumn("d", F.col("d") + F.when(F.col("_hit") & m.isNotNull(), F.log1p(m * size)).otherwise(0.0)).drop("_hit", "_pick")
 
 
-def recovery(g: DataFrame, events: DataFrame, months: int = 6) -> DataFrame:
-    """(e, c, t, size, k, left): share of a gap's change that is left k months after an event."""
+def inject_levels(dense: DataFrame, keys: DataFrame, scenario: str, size: float) -> DataFrame:
+    """A dense panel whose readings from month t of a key (e, t, pick; one key an entity) on are multiplied by 1 + multiplier * size: a lasting step."""
+    hit = dense.join(keys.select("e", F.col("t").alias("_from"), F.col("pick").alias("_pick")), "e", "left")
+    m = F.when(F.col("t") >= F.col("_from"), multiplier(scenario, "_pick"))
+    return hit.select("e", "c", "t", (F.col("y") * (1 + F.coalesce(m, F.lit(0.0)) * size)).alias("y"))
+
+
+def recovery(g: DataFrame, events: DataFrame, months: int = 6, least: float = RECOVERY_EDGES[0]) -> DataFrame:
+    """(e, c, t, size, k, left): share of a gap's change that is left k months after an event; events whose change is smaller than `least` give none."""
     w = series()
     x = g.withColumn("_b", F.lag("g", 1).over(w))
     for k in range(0, months + 1):
         x = x.withColumn(f"_g{k}", F.lead("g", k).over(w))
-    ev = x.join(events.select("e", "c", "t"), ["e", "c", "t"], "left_semi").withColumn("size", F.col("g") - F.col("_b"))
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), ((F.col(f"_g{k}") - F.col("_b")) / F.nullif("size", F.lit(0.0))).alias("left")) for k in range(1, months + 1)])
+    ev = x.join(events.select("e", "c", "t").distinct(), ["e", "c", "t"], "left_semi").withColumn("size", F.col("g") - F.col("_b")).where(F.abs("size") >= least)
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), ((F.col(f"_g{k}") - F.col("_b")) / F.col("size")).alias("left")) for k in range(1, months + 1)])
     return ev.select("e", "c", "t", "size", F.explode(rows).alias("r")).select("e", "c", "t", "size", "r.k", "r.left")
 
 
 def recovery_month(paths: DataFrame, months: int = 6) -> DataFrame:
-    """(e, c, t, month): first k with |left| < 1/3; months + 1 if none; null where a month is unknown before it."""
-    agg = paths.groupBy("e", "c", "t").agg(F.min(F.when(F.abs("left") < 1 / 3, F.col("k"))).alias("hit"), F.count("left").alias("known"))
-    return agg.select("e", "c", "t", F.when(F.col("hit").isNotNull(), F.col("hit")).when(F.col("known") == months, F.lit(months + 1)).alias("month"))
+    """(e, c, t, month): first k with |left| < 1/3; months + 1 if there is none and the last month is known, null if that is unknown."""
+    agg = paths.groupBy("e", "c", "t").agg(F.min(F.when(F.abs("left") < 1 / 3, F.col("k"))).alias("hit"), F.max(F.when((F.col("k") == months) & F.col("left").isNotNull(), 1)).alias("known"))
+    return agg.select("e", "c", "t", F.when(F.col("hit").isNotNull(), F.col("hit")).when(F.col("known") == 1, F.lit(months + 1)).alias("month"))
+
+
+def size_class(size: Column) -> Column:
+    """Class 0..3 of a change by its size: 5, 10, 20 and 40 % are the lower edges; null below."""
+    out = F.when(F.abs(size) >= RECOVERY_EDGES[0], F.lit(0))
+    for k, edge in enumerate(RECOVERY_EDGES[1:], 1):
+        out = F.when(F.abs(size) >= edge, F.lit(k)).otherwise(out)
+    return out
+
+
+def hit_within(scores: DataFrame, keys: DataFrame, k: int, share: float = 0.99) -> DataFrame:
+    """(found, n): part of the keys (e, t) whose entity reaches, in one of the months t..t+k, the `share` point of `score` over the clean cells.
+
+    scores has e, t and score. A cell is clean if its entity has no key or its month lies before the key's.
+    """
+    x = scores.join(keys.select("e", F.col("t").alias("_from")), "e", "left")
+    cut = x.where(F.col("_from").isNull() | (F.col("t") < F.col("_from"))).agg(F.percentile("score", share)).first()[0]
+    seen = x.where((F.col("t") >= F.col("_from")) & (F.col("t") <= F.col("_from") + k)).groupBy("e").agg(F.max((F.col("score") >= F.lit(cut)).cast("int")).alias("_hit"))
+    return keys.select("e").distinct().join(seen, "e", "left").agg(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")).alias("found"), F.count(F.lit(1)).alias("n"))

@@ -72,9 +72,9 @@ def backtest(readings: DataFrame, names: list[str] | None = None) -> DataFrame:
     parts = []
     for origin, steps in metrics.forecast_plan(months=months).items():
         last = ends["a"] + origin - 1
-        simple = panel.simple_forecasts(readings, last, steps).where(F.col("model").isin(names))
+        simple = [panel.simple_forecasts(readings, last, steps, ends["a"]).where(F.col("model").isin(names))] if set(names) & set(SIMPLE) else []
         smooth = [models.smooth_series(readings, last, steps, SERIES[m]).withColumn("model", F.lit(m)) for m in names if m in SERIES]
-        part = reduce(DataFrame.unionByName, [simple, *smooth])
+        part = reduce(DataFrame.unionByName, [*simple, *smooth])
         parts.append(part.withColumn("origin", F.lit(origin)).withColumn("t", F.lit(last) + F.col("step")))
     out = reduce(DataFrame.unionByName, parts)
     truth = readings.select("e", "c", "t", F.col("y").alias("y_true"))
@@ -122,6 +122,12 @@ def deseasoned(dense: DataFrame, profile: DataFrame) -> DataFrame:
     return d.select("e", "c", "t", (F.col("y") / F.exp(F.coalesce("level", F.lit(0.0)))).alias("y"))
 
 
+def per_day(dense: DataFrame, power: float, back: bool = False) -> DataFrame:
+    """y over (with back: times) the number of days of its month to a power."""
+    days = F.pow(F.day(F.last_day(F.make_date(F.floor(F.col("t") / 12).cast("int"), (F.col("t") % 12 + 1).cast("int"), F.lit(1)))), F.lit(float(power)))
+    return dense.withColumn("y", F.col("y") * days if back else F.col("y") / days)
+
+
 def reseasoned(dense: DataFrame, profile: DataFrame) -> DataFrame:
     d = dense.withColumn("moy", F.col("t") % 12).join(profile, ["c", "moy"], "left")
     return d.select("e", "c", "t", (F.col("y") * F.exp(F.coalesce("level", F.lit(0.0)))).alias("y"))

@@ -7,22 +7,30 @@ from pyspark.sql import functions as F
 
 from panelmill.operators import models, panel, shocks
 from panelmill.plans import backtest
-from panelmill.plans.panels import get_dense, get_panel, get_regions
+from panelmill.plans.panels import PROFILE_SQL, SIMPLE_SQL, get_dense, get_regions
 from panelmill.plans.registry import Registry
 from panelmill.plans.shock_queries import get_peer
-from panelmill.plans.sql import GROWTH
+from panelmill.plans.sql import DENSE, GROWTH
 from panelmill.sources.tables import durable, read_table
 
 REG = Registry()
 
 
 def _usable(spark, sf_dir):
-    return get_dense(spark, sf_dir).withColumn("y", F.when((F.col("y") > 0) & (F.col("y") < 1e7), F.col("y")))
+    return get_dense(spark, sf_dir).withColumn("y", F.when(F.col("y") > 0, F.col("y")))
 
 
-@REG.add()
+PLAN_SQL = "o AS (SELECT origin, max(h) AS steps FROM (SELECT unnest([1, 3, 6, 12]) AS h), (SELECT unnest(range(12, 24)) AS origin) WHERE (origin - 12) % h = 0 AND origin + h <= (SELECT max(t) - min(t) + 1 FROM dense) GROUP BY origin)"
+
+
+@REG.add(f"WITH {DENSE}, {PLAN_SQL}, {SIMPLE_SQL} SELECT s.e, s.c, s.origin, s.step, s.t, s.model, s.y_pred, a.y AS y_true, b.y AS y_last FROM simple s LEFT JOIN dense a ON a.e = s.e AND a.c = s.c AND a.t = s.t LEFT JOIN dense b ON b.e = s.e AND b.c = s.c AND b.t = s.t - s.step", "y_pred y_true y_last")
 def ref_e03_backtest(spark, sf_dir):
-    return backtest.backtest(durable(get_panel(spark, sf_dir), "panel"))
+    return backtest.backtest(durable(get_dense(spark, sf_dir), "dense"), backtest.SIMPLE)
+
+
+@REG.add()
+def ref_m06_series_models(spark, sf_dir):
+    return backtest.backtest(durable(get_dense(spark, sf_dir), "dense"), list(backtest.SERIES))
 
 
 @REG.add()
@@ -37,13 +45,16 @@ def ref_p21_direct_ridge(spark, sf_dir):
     return backtest.direct_forecast(d, d.agg(F.max("t")).first()[0] - 3, 3, models.fit_ridge)
 
 
-PROFILE = f"""WITH {GROWTH}, m AS (SELECT c, t, median(g) AS g FROM gr GROUP BY ALL), p AS (SELECT c, t % 12 AS moy, avg(g) AS p FROM m WHERE g IS NOT NULL GROUP BY ALL), q AS (SELECT c, moy, p - avg(p) OVER (PARTITION BY c) AS p FROM p), s AS (SELECT c, moy, sum(p) OVER (PARTITION BY c ORDER BY moy) AS s FROM q), pf AS (SELECT c, moy, s - avg(s) OVER (PARTITION BY c) AS level FROM s)"""
+@REG.add(f"WITH {GROWTH}, {PROFILE_SQL} SELECT d.e, d.c, d.t, d.y / exp(coalesce(level, 0)) AS y FROM dense d LEFT JOIN pf ON d.c = pf.c AND d.t % 12 = pf.moy", "y")
+def ref_p20_deseason(spark, sf_dir):
+    d = get_dense(spark, sf_dir)
+    return backtest.deseasoned(d, panel.season_profile(d))
 
 
-@REG.add(f"{PROFILE} SELECT d.e, d.c, d.t, d.y / exp(coalesce(level, 0)) AS y FROM dense d LEFT JOIN pf ON d.c = pf.c AND d.t % 12 = pf.moy WHERE d.y < 1e7", "y")
-def ref_p20_deseason(spark, sf_dir):
+@REG.add(f"WITH {GROWTH}, {PROFILE_SQL} SELECT d.e, d.c, d.t, d.y / exp(coalesce(level, 0)) / day(last_day(make_date(CAST(d.t // 12 AS INT), CAST(d.t % 12 + 1 AS INT), 1))) AS y FROM dense d LEFT JOIN pf ON d.c = pf.c AND d.t % 12 = pf.moy", "y")
+def ref_p20_deseason_per_day(spark, sf_dir):
     d = get_dense(spark, sf_dir)
-    return backtest.deseasoned(d.where("y < 1e7"), panel.season_profile(d))
+    return backtest.deseasoned(backtest.per_day(d, 1.0), panel.season_profile(d))
 
 
 @REG.add()
@@ -51,14 +62,9 @@ def ref_t07_seeded_sample(spark, sf_dir):
     return read_table(spark, sf_dir, "top_shocks_news").select("shock_id").distinct().orderBy(F.xxhash64(F.lit(42), "shock_id"), "shock_id").limit(400)
 
 
-#: Fixed values of the reference: shocks and their multipliers by category (None: one category by draw), sizes, first test month.
-ALL = "Все категории"
-SHOCKS = {
-    "all": {c: -1.0 for c in (ALL, "Продовольствие", "Здоровье", "Маркетплейсы", "Общественное питание", "Транспорт")},
-    "one": None,
-    "emergency": {"Продовольствие": 0.5, "Маркетплейсы": -1.0, "Общественное питание": -1.0, "Транспорт": -0.5, ALL: -1 / 3},
-}
-SIZES = (0.05, 0.1, 0.2, 0.3)
+ALL = shocks.ALL
+SHOCKS = shocks.SCENARIOS
+SIZES = shocks.SIZES
 FIRST_TEST = 2024 * 12
 COPY = 1_000_000  # copies of the panel, one for each draw, lie so many months apart, so that every month of a copy is scored by itself
 
@@ -181,7 +187,7 @@ def ref_p36_news_check(spark, sf_dir):
 @REG.add()
 def ref_e11_event_study(spark, sf_dir):
     """Mean gap in months 1 and 2 after a shock month, for shocks and for the other months of covered entities."""
-    from panelmill.operators.asof import month_number
+    from panelmill.functions import month_number
 
     g = shocks.gaps(get_dense(spark, sf_dir), get_regions(spark, sf_dir))
     ev = read_table(spark, sf_dir, "top_shocks_news").where(F.col("уровень") == "шок").select(F.col("territory_id").alias("e"), month_number(F.col("month")).alias("t0")).distinct()

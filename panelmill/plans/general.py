@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.operators.asof import known_asof, month_number, with_release
+from panelmill.functions import month_number, month_text
+from panelmill.operators.asof import known_asof, with_release
 from panelmill.operators.control import Chart, implausible, latest_valid
-from panelmill.operators.impute import UNKNOWN_MARKS, impute_chained
+from panelmill.operators.impute import UNKNOWN_MARKS, impute_chained, masked_errors
 from panelmill.sources.tables import exact_rows, read_table
 
 # Usable ranges of the numeric fields.
@@ -16,14 +17,19 @@ TEXTS = ["mo_type", "is_capital", "is_zato", "shape"]
 TOTAL = "Все категории"
 
 
-def month_text(ordinal) -> F.Column:
-    return F.format_string("%04d-%02d", F.floor(ordinal / 12).cast("int"), (ordinal % 12 + 1).cast("int"))
+def _territories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    static = exact_rows(read_table(spark, sf_dir, "territory_static")).withColumn("_static", F.lit(True))
+    access = exact_rows(read_table(spark, sf_dir, "market_access"), "territory_id", "market_access").withColumn("_access", F.lit(True))
+    return static.join(access, "territory_id", "full")
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    static = exact_rows(read_table(spark, sf_dir, "territory_static")).withColumn("_static", F.lit(True))
-    access = exact_rows(read_table(spark, sf_dir, "market_access"), "territory_id", "market_access").withColumn("_access", F.lit(True))
-    return impute_chained(static.join(access, "territory_id", "full"), NUMBERS, TEXTS, "region", "territory_id")
+    return impute_chained(_territories(spark, sf_dir), NUMBERS, TEXTS, "region", "territory_id")
+
+
+def p4_masked_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known cells hidden and filled again: error of the drawn and of the fitted values against the mean of the region."""
+    return masked_errors(_territories(spark, sf_dir), NUMBERS, TEXTS, "region", "territory_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +51,8 @@ def p4_market_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).select("territory_id", "market_access", "market_access_filled").distinct()
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of p5_found with the reason for which each is marked."""
     key = ["territory_id", "category", "date"]
     panel = latest_valid(read_table(spark, sf_dir, "consumption").select(*key, "value", "loaded_at"), key, "value", "loaded_at").withColumn("t", month_number(F.col("date")))
     inf = float("inf")
@@ -54,7 +61,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = latest_valid(z, ["territory_id", "month"], "value", "detected_at").withColumn("t", month_number(F.col("month"))).withColumn("category", F.lit(TOTAL))
     b = implausible(z, ["territory_id", "category"], "t", "value", False, F.abs("value") == inf, None, Chart(limit=9.0, prior=6.0))
     both = a.withColumn("src_table", F.lit("consumption")).unionByName(b.withColumn("src_table", F.lit("top_shocks_news")))
-    return both.select("src_table", "territory_id", "category", month_text(F.col("t")).alias("month"))
+    return both.select("src_table", "territory_id", "category", month_text(F.col("t")).alias("month"), "reason")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_reasons(spark, sf_dir).drop("reason")
+
+
+def p5_impossible_and_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p5_reasons that SQL can state: impossible readings and stuck runs."""
+    return p5_reasons(spark, sf_dir).where("reason <> 'spike'")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +81,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("shock_id", "indicator", "quarterly_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_territory_static": p4_territory_static, "p4_market_access": p4_market_access, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p4_territory_static": p4_territory_static, "p4_market_access": p4_market_access, "p4_masked_error": p4_masked_error, "p5_found": p5_found, "p5_reasons": p5_reasons, "p5_impossible_and_stuck": p5_impossible_and_stuck, "p6_found": p6_found}
 
 _MARKS = ", ".join(f"'{m}'" for m in UNKNOWN_MARKS)
 
@@ -82,6 +98,13 @@ ORACLE = {
         [f"SELECT 'territory_static' AS src_table, territory_id, '{c}' AS field FROM territory_static WHERE {_sql_gap(c)}" for c in [*TEXTS, *NUMBERS] if c != "market_access"]
         + [f"SELECT 'market_access' AS src_table, territory_id, 'market_access' AS field FROM (SELECT territory_id, market_access FROM territory_static FULL JOIN market_access USING (territory_id)) WHERE {_sql_gap('market_access')}"]
     ),
+    "p5_impossible_and_stuck": f"""
+WITH c AS (SELECT 'consumption' AS src_table, territory_id, category, date AS month, value AS v FROM (SELECT *, row_number() OVER (PARTITION BY territory_id, category, date ORDER BY loaded_at DESC NULLS LAST, value DESC) AS rn FROM consumption) WHERE rn = 1),
+z AS (SELECT 'top_shocks_news' AS src_table, territory_id, '{TOTAL}' AS category, month, "z: {TOTAL}" AS v FROM (SELECT *, row_number() OVER (PARTITION BY territory_id, month ORDER BY detected_at DESC NULLS LAST, "z: {TOTAL}" DESC) AS rn FROM top_shocks_news) WHERE rn = 1),
+a AS (SELECT *, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS t FROM (FROM c UNION ALL FROM z) WHERE v IS NOT NULL AND NOT isnan(v)),
+g AS (SELECT *, t - row_number() OVER (PARTITION BY src_table, territory_id, category, v ORDER BY t) AS run FROM a),
+n AS (SELECT *, count(*) OVER (PARTITION BY src_table, territory_id, category, v, run) AS n FROM g)
+SELECT src_table, territory_id, category, month, CASE WHEN isinf(v) OR src_table = 'consumption' AND v <= 0 THEN 'impossible' ELSE 'stuck' END AS reason FROM n WHERE isinf(v) OR src_table = 'consumption' AND v <= 0 OR n >= 4""",
     "p6_found": """
 WITH m AS (
   SELECT q.*, year * 12 + quarter * 3 - 1 AS qend, l.lag_months,

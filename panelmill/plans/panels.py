@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelmill.functions import finite, hash_share, host_name, normalised_name
 from panelmill.operators import external, panel
 from panelmill.operators.asof import with_release
 from panelmill.plans.registry import Registry
 from panelmill.plans.sql import DENSE, GROWTH, PANEL
-from panelmill.sources.tables import exact_rows, read_table
+from panelmill.sources.tables import durable, exact_rows, read_table
 
 REG = Registry()
 TOTAL = "Все категории"
@@ -57,7 +60,7 @@ SELECT g.indicator, g.e, g.q, last_value(v IGNORE NULLS) OVER (PARTITION BY g.in
 )
 def ref_a05_quarterly_forward_fill(spark, sf_dir):
     rows = exact_rows(read_table(spark, sf_dir, "rosstat_quarterly"), "quarterly_id", "indicator", "territory_id", "year", "quarter", "yoy_log")
-    rows = rows.select("indicator", F.col("territory_id").alias("e"), (F.col("year") * 4 + F.col("quarter") - 1).alias("q"), panel.finite("yoy_log").alias("v0"))
+    rows = rows.select("indicator", F.col("territory_id").alias("e"), (F.col("year") * 4 + F.col("quarter") - 1).alias("q"), finite("yoy_log").alias("v0"))
     return external.forward_filled(rows, "v0")
 
 
@@ -120,7 +123,7 @@ def ref_a20_pruned_scan(spark, sf_dir):
 
 @REG.add("SELECT regexp_replace(regexp_replace(lower(trim(source)), '^www[.]', ''), '^m[.]', '') AS host, pub_date, count(*) AS n FROM documents GROUP BY ALL")
 def ref_a21_census(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").groupBy(external.host_name(F.col("source")).alias("host"), "pub_date").agg(F.count(F.lit(1)).alias("n"))
+    return read_table(spark, sf_dir, "documents").groupBy(host_name(F.col("source")).alias("host"), "pub_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 @REG.add("SELECT min(doc_id) AS doc_id, lower(trim(source)) AS host, pub_date, title FROM documents WHERE pub_date >= DATE '2023-06-01' AND pub_date < DATE '2024-07-01' GROUP BY 2, 3, 4")
@@ -138,7 +141,7 @@ def ref_a22_census_pivot(spark, sf_dir):
 
 @REG.add("SELECT doc_id, CAST((CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 16)) AS UBIGINT)::HUGEINT % 10000 * 1616 + CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 17, 16)) AS UBIGINT)::HUGEINT % 10000) % 10000 AS INT) AS draw FROM documents")
 def ref_a23_hash_draw(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", external.hash_share(F.col("doc_id").cast("string")).alias("draw"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", hash_share(F.col("doc_id").cast("string")).alias("draw"))
 
 
 @REG.add("SELECT territory_id, indicator, value, revision FROM (SELECT *, row_number() OVER (PARTITION BY territory_id, indicator ORDER BY year DESC, quarter DESC, revision DESC, quarterly_id DESC) AS rn FROM (SELECT DISTINCT * FROM rosstat_quarterly)) WHERE rn = 1", "value")
@@ -196,7 +199,7 @@ def ref_j04_flow_year_on_year(spark, sf_dir):
     """WITH a AS (SELECT DISTINCT substr(regexp_replace(lower("регион"), '[^а-яa-z]', '', 'g'), 1, 12) AS k FROM top_shocks_news), b AS (SELECT substr(regexp_replace(replace(lower("регион"), 'ё', 'е'), '[^a-zа-я]', '', 'g'), 1, 12) AS k, count(DISTINCT shock_id) AS n FROM top_shocks_news GROUP BY 1) SELECT * FROM b""",
 )
 def ref_j05_normalised_key(spark, sf_dir):
-    return read_table(spark, sf_dir, "top_shocks_news").groupBy(external.normalised_name(F.col("регион")).alias("k")).agg(F.countDistinct("shock_id").alias("n"))
+    return read_table(spark, sf_dir, "top_shocks_news").groupBy(normalised_name(F.col("регион")).alias("k")).agg(F.countDistinct("shock_id").alias("n"))
 
 
 @REG.add(
@@ -214,7 +217,7 @@ def ref_j10_published_quarter(spark, sf_dir):
     return known_asof(grid, rows, "e", "at", "_known", "indicator", ["year", "quarter", "revision"], ["yoy_log"]).select("e", "t", "indicator", F.col("yoy_log").alias("ros"))
 
 
-FEATURES_SQL = f"""WITH {GROWTH}, f AS (SELECT e, c, t, y, l,
+FEATURES_SQL = f"""WITH {GROWTH}, f AS (SELECT e, c, t, y, l, CAST(t % 12 + 1 AS VARCHAR) AS month,
 lag(l, 1) OVER w - lag(l, 2) OVER w AS dlog_1, lag(l, 2) OVER w - lag(l, 3) OVER w AS dlog_2, lag(l, 3) OVER w - lag(l, 4) OVER w AS dlog_3,
 lag(y, 1) OVER w - lag(y, 2) OVER w AS diff_1, lag(y, 2) OVER w - lag(y, 3) OVER w AS diff_2, lag(y, 3) OVER w - lag(y, 4) OVER w AS diff_3,
 lag(y, 1) OVER w AS level_1, lag(l, 1) OVER w AS log_level_1,
@@ -265,11 +268,31 @@ def ref_p05_cross_features(spark, sf_dir):
     return panel.cross_features(get_dense(spark, sf_dir))
 
 
-@REG.add(f"WITH {GROWTH}, m AS (SELECT c, t, median(g) AS g FROM gr GROUP BY ALL), p AS (SELECT c, t % 12 AS moy, avg(g) AS p FROM m WHERE g IS NOT NULL GROUP BY ALL), q AS (SELECT c, moy, p - avg(p) OVER (PARTITION BY c) AS p FROM p), s AS (SELECT c, moy, sum(p) OVER (PARTITION BY c ORDER BY moy) AS s FROM q) SELECT c, moy, s - avg(s) OVER (PARTITION BY c) AS level FROM s", "level")
+SEASON_SQL = """sm AS (SELECT c, t, median(g) AS g FROM gr WHERE t < {end} GROUP BY ALL), sp AS (SELECT c, CAST(t % 12 AS INT) AS moy, avg(g) AS p FROM sm WHERE g IS NOT NULL GROUP BY ALL),
+sg AS (SELECT c, CAST(moy AS INT) AS moy FROM (SELECT DISTINCT c FROM dense), (SELECT unnest(range(0, 12)) AS moy))"""
+PROFILE_SQL = f"{SEASON_SQL.format(end=10**6)}, sd AS (SELECT sg.c, sg.moy, coalesce(p - avg(p) OVER (PARTITION BY sg.c), 0) AS ds FROM sg LEFT JOIN sp USING (c, moy)), sc AS (SELECT c, moy, sum(ds) OVER (PARTITION BY c ORDER BY moy) AS s FROM sd), pf AS (SELECT c, moy, s - avg(s) OVER (PARTITION BY c) AS level FROM sc)"
+NATIONAL_SQL = """om AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) - 1 AS t, sum(o_totalprice) AS v FROM orders GROUP BY ALL), og AS (SELECT t, ln(v) - ln(lag(v) OVER (ORDER BY t)) AS g FROM om),
+os AS (SELECT CAST(t % 12 AS INT) AS moy, median(g) AS p FROM og WHERE g IS NOT NULL GROUP BY ALL), oc AS (SELECT moy, p - avg(p) OVER () AS p FROM os), ok AS (SELECT moy, sum(p) OVER (ORDER BY moy) AS s FROM oc), nat AS (SELECT moy, s - avg(s) OVER () AS level FROM ok)"""
+
+
+@REG.add(f"WITH {GROWTH}, {PROFILE_SQL} SELECT * FROM pf", "level")
 def ref_p09_season_profile(spark, sf_dir):
     return panel.season_profile(get_dense(spark, sf_dir))
 
 
+@REG.add(
+    f"""WITH {GROWTH}, {SEASON_SQL.format(end=2024 * 12)}, {NATIONAL_SQL}, nd AS (SELECT moy, level - coalesce(lag(level) OVER (ORDER BY moy), (SELECT level FROM nat WHERE moy = 11)) AS nat FROM nat),
+x AS (SELECT sg.c, sg.moy, p, nat FROM sg LEFT JOIN sp USING (c, moy) JOIN nd USING (moy)), m AS (SELECT *, (sum(p) OVER (PARTITION BY c) + coalesce(sum(CASE WHEN p IS NULL THEN nat END) OVER (PARTITION BY c), 0)) / count(p) OVER (PARTITION BY c) AS mu FROM x),
+d AS (SELECT c, moy, 0.5 * coalesce(p - mu, nat) + 0.5 * nat AS ds FROM m), k AS (SELECT c, moy, sum(ds) OVER (PARTITION BY c ORDER BY moy) AS s FROM d) SELECT c, moy, s - avg(s) OVER (PARTITION BY c) AS level FROM k""",
+    "level",
+)
+def ref_p09_blended_profile(spark, sf_dir):
+    """One year of training: no growth into January is seen, so the other profile (orders) fills it; all growths are blended half and half."""
+    d = get_dense(spark, sf_dir).where(F.col("t") < 2024 * 12)
+    names = [F.lit(r["c"]) for r in d.select("c").distinct().collect()]
+    return panel.season_profile(d, ref_a09_national_season(spark, sf_dir).withColumn("c", F.explode(F.array(*names).cast("array<string>"))), 0.5)
+
+
 @REG.add(f"WITH {PANEL} SELECT DISTINCT t, CAST(day(last_day(make_date(t // 12, t % 12 + 1, 1))) AS INT) AS days FROM panel")
 def ref_p10_days_in_month(spark, sf_dir):
     return get_panel(spark, sf_dir).select("t").distinct().select("t", F.day(F.last_day(F.make_date(F.floor(F.col("t") / 12).cast("int"), F.col("t") % 12 + 1, F.lit(1)))).alias("days"))
@@ -282,16 +305,16 @@ def ref_p11_macro_lag(spark, sf_dir):
 
 
 @REG.add(
-    f"""WITH {DENSE}, a AS (SELECT e, c, t, y, l, lag(l) OVER w AS p, lead(l) OVER w AS n FROM lg WINDOW w AS (PARTITION BY c, e ORDER BY t)), b AS (SELECT *, (p + n) / 2 AS mid, l - (p + n) / 2 AS dev, sign(l - p) * sign(n - l) AS turn FROM a),
-m AS (SELECT *, median(dev) OVER (PARTITION BY c, t) AS m FROM b), s AS (SELECT *, median(abs(dev - m)) OVER (PARTITION BY c, t) AS mad FROM m)
-SELECT e, c, t, y, CASE WHEN abs(dev) > 5 * 1.4826 * mad AND turn < 0 THEN exp(mid) ELSE y END AS clean FROM s""",
+    f"""WITH {DENSE}, a AS (SELECT e, c, t, y, lf AS l, lag(lf) OVER w AS p, lead(lf) OVER w AS n FROM lg WINDOW w AS (PARTITION BY c, e ORDER BY t)), b AS (SELECT *, (p + n) / 2 AS mid, l - (p + n) / 2 AS dev FROM a),
+m AS (SELECT *, abs(dev - median(dev) OVER (PARTITION BY c, t)) AS off FROM b), s AS (SELECT *, median(off) OVER (PARTITION BY c, t) AS mad FROM m)
+SELECT e, c, t, y, CASE WHEN off > 5 * 1.4826 * mad AND sign(l - p) <> sign(n - l) THEN exp(mid) ELSE greatest(y, 1.0) END AS clean FROM s""",
     "y clean",
 )
 def ref_p12_despike(spark, sf_dir):
     return panel.despike(get_dense(spark, sf_dir), 5.0)
 
 
-SHIFTS_SQL = f"""WITH {DENSE}, r AS (SELECT e, c, t, r FROM (SELECT e, c, t, l - median(l) OVER (PARTITION BY c, t) AS r FROM lg) WHERE r IS NOT NULL),
+SHIFTS_SQL = f"""WITH {DENSE}, r AS (SELECT e, c, t, r FROM (SELECT e, c, t, lf - median(lf) OVER (PARTITION BY c, t) AS r FROM lg) WHERE r IS NOT NULL),
 b AS (SELECT min(t) AS a, max(t) AS b FROM dense), k AS (SELECT r.*, s FROM r, b, (SELECT DISTINCT t AS s FROM dense) WHERE s BETWEEN a + 3 AND b + 1 - 3 AND t >= s - 6),
 g AS (SELECT e, c, s, median(r) FILTER (WHERE t >= s) - median(r) FILTER (WHERE t < s) AS step, median(r) FILTER (WHERE t >= s AND t < s + 3) - median(r) FILTER (WHERE t < s) AS start, sqrt((var_pop(r) FILTER (WHERE t < s) + var_pop(r) FILTER (WHERE t >= s)) / 2) AS sd FROM k GROUP BY ALL),
 h AS (SELECT *, abs(step) / (sd + 0.01) AS score FROM g),
@@ -341,33 +364,40 @@ def ref_w17_trend(spark, sf_dir):
     return panel.trend(get_dense(spark, sf_dir), 6)
 
 
-@REG.add(
-    f"""WITH {PANEL}, x AS (SELECT max(t) - 12 AS last FROM panel), h AS (SELECT panel.*, last FROM panel, x WHERE t <= last),
-a AS (SELECT e, c, any_value(last) AS last, max(y) FILTER (WHERE t = last) AS naive, avg(y) FILTER (WHERE t > last - 3) AS mean_3, avg(y) FILTER (WHERE t > last - 6) AS mean_6, avg(y) FILTER (WHERE t > last - 12) AS mean_12, min_by(y, t) FILTER (WHERE y IS NOT NULL) AS first, min(t) FILTER (WHERE y IS NOT NULL) AS t0,
- sum(y) FILTER (WHERE t > last - 3) / nullif(sum(y) FILTER (WHERE t > last - 15 AND t <= last - 12), 0) AS growth FROM h GROUP BY e, c),
-s AS (SELECT a.*, CAST(step AS INT) AS step FROM a, (SELECT unnest(range(1, 15)) AS step)),
-j AS (SELECT s.*, p.y AS year FROM s LEFT JOIN panel p ON p.e = s.e AND p.c = s.c AND p.t = s.last - 11 + (s.step - 1) % 12)
-SELECT e, c, step, 'naive' AS model, naive AS y_pred FROM j UNION ALL SELECT e, c, step, 'mean_3', mean_3 FROM j UNION ALL SELECT e, c, step, 'mean_6', mean_6 FROM j UNION ALL SELECT e, c, step, 'mean_12', mean_12 FROM j
-UNION ALL SELECT e, c, step, 'drift', naive + (naive - first) / nullif(last - t0, 0) * step FROM j UNION ALL SELECT e, c, step, 'seasonal_naive', year FROM j UNION ALL SELECT e, c, step, 'seasonal_naive_growth', year * coalesce(growth, 1.0) FROM j""",
-    "y_pred",
-)
+#: forecasts of the simple models from origins `o` (origin, steps): the series as lists, month 1 first
+SIMPLE_SQL = """ser AS (SELECT e, c, min(t) AS a, list(y ORDER BY t) AS ys FROM dense GROUP BY e, c), so AS (SELECT ser.*, origin, CAST(step AS INT) AS step, least(3, origin - 12) AS m FROM ser, (SELECT origin, unnest(range(1, steps + 1)) AS step FROM o)),
+sg AS (SELECT *, ys[origin - 11 + (step - 1) % 12] AS year, ys[origin - m + 1:origin] AS late, ys[origin - m - 11:origin - 12] AS early FROM so),
+sh AS (SELECT *, CASE WHEN m < 1 THEN 1.0 WHEN len(list_filter(late, lambda x: x IS NOT NULL)) = m AND len(list_filter(early, lambda x: x IS NOT NULL)) = m THEN list_sum(late) / nullif(list_sum(early), 0) END AS growth FROM sg),
+sf AS (SELECT e, c, origin, step, a, unnest([{'model': 'naive', 'y_pred': ys[origin]}, {'model': 'mean_3', 'y_pred': list_avg(ys[origin - 2:origin])}, {'model': 'mean_6', 'y_pred': list_avg(ys[origin - 5:origin])}, {'model': 'mean_12', 'y_pred': list_avg(ys[origin - 11:origin])},
+ {'model': 'drift', 'y_pred': ys[origin] + (ys[origin] - ys[1]) / (origin - 1) * step}, {'model': 'seasonal_naive', 'y_pred': year}, {'model': 'seasonal_naive_growth', 'y_pred': year * growth}]) AS f FROM sh),
+simple AS (SELECT e, c, CAST(origin AS INT) AS origin, step, CAST(a + origin + step - 1 AS INT) AS t, f.model AS model, f.y_pred AS y_pred FROM sf)"""
+ORIGINS = (12, 13, 14, 15, 24)
+
+
+@REG.add(f"WITH {DENSE}, o AS (SELECT unnest([12, 13, 14, 15, 24]) AS origin, 14 AS steps), {SIMPLE_SQL} SELECT e, c, origin, step, model, y_pred FROM simple", "y_pred")
 def ref_m01_simple_models(spark, sf_dir):
-    p = get_panel(spark, sf_dir)
-    last = p.agg(F.max("t")).first()[0] - 12
-    return panel.simple_forecasts(p, last, 14)
+    """The simple models after 12, 13, 14, 15 and 24 months, 14 months ahead."""
+    d = durable(get_dense(spark, sf_dir), "dense")
+    first = d.agg(F.min("t")).first()[0]
+    return reduce(DataFrame.unionByName, [panel.simple_forecasts(d, first + o - 1, 14, first).withColumn("origin", F.lit(o)) for o in ORIGINS])
 
 
-RAMADAN = [("2023-03-23", "2023-04-20"), ("2024-03-11", "2024-04-09")]  # fixed values: first and last day of fasting
+@REG.add(f"WITH {DENSE}, o AS (SELECT unnest([12, 13, 14, 15, 24]) AS origin, 3 AS steps), {SIMPLE_SQL} SELECT e, c, origin, step, y_pred FROM simple WHERE model = 'seasonal_naive_growth'", "y_pred")
+def ref_m05_growth(spark, sf_dir):
+    return ref_m01_simple_models(spark, sf_dir).where("model = 'seasonal_naive_growth' and step <= 3").drop("model")
 
 
 @REG.add(
-    f"""WITH {PANEL}, m AS (SELECT DISTINCT t, make_date(t // 12, t % 12 + 1, 1) AS a FROM panel), d AS (SELECT t, a, last_day(a) AS b FROM m)
-SELECT t, (greatest(0, date_diff('day', greatest(a, DATE '2023-03-23'), least(b, DATE '2023-04-20')) + 1) + greatest(0, date_diff('day', greatest(a, DATE '2024-03-11'), least(b, DATE '2024-04-09')) + 1)) / day(b) AS share FROM d""",
-    "share",
+    f"""WITH {PANEL}, m AS (SELECT DISTINCT t, unnest([-1, 0, 1]) AS k FROM panel), d AS (SELECT t, k, make_date(CAST((t + k) // 12 AS INT), CAST((t + k) % 12 + 1 AS INT), 1) AS a, last_day(make_date(CAST((t + k) // 12 AS INT), CAST((t + k) % 12 + 1 AS INT), 1)) AS b FROM m),
+f AS (SELECT * FROM (VALUES {", ".join(f"(DATE '{a}', DATE '{b}')" for a, b in panel.FASTING.values())}) AS f(fa, fb)),
+s AS (SELECT t, k, sum(greatest(0, date_diff('day', greatest(a, fa), least(b, fb)) + 1)) / day(any_value(b)) AS share FROM d, f GROUP BY t, k),
+w AS (SELECT DISTINCT territory_id AS e, CASE region {" ".join(f"WHEN '{r}' THEN {v}" for r, v in panel.MUSLIM_SHARE.items())} ELSE 0.0 END AS w FROM territory_static)
+SELECT e, t, max(share) FILTER (WHERE k = 0) * w AS ramadan_t, max(share) FILTER (WHERE k = -1) * w AS ramadan_prev, max(share) FILTER (WHERE k = 1) * w AS ramadan_next FROM w, s GROUP BY e, t, w""",
+    "ramadan_t ramadan_prev ramadan_next",
 )
-def ref_f01_fasting_share(spark, sf_dir):
-    m = get_panel(spark, sf_dir).select("t").distinct().withColumn("a", F.make_date(F.floor(F.col("t") / 12).cast("int"), F.col("t") % 12 + 1, F.lit(1)))
-    return m.select("t", panel.ramadan_share(F.col("a"), RAMADAN).alias("share"))
+def ref_f01_fasting_features(spark, sf_dir):
+    months = [r["t"] for r in get_panel(spark, sf_dir).select("t").distinct().collect()]
+    return panel.fasting_features(get_regions(spark, sf_dir), months)
 
 
 QUERIES, ORACLE = REG.queries, REG.oracle

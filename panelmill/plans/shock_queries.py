@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.operators import shocks
-from panelmill.plans.evaluation import get_forecasts
+from panelmill.functions import month_number
+from panelmill.operators import outliers, shocks
+from panelmill.plans.evaluation import get_forecasts, get_shocked
 from panelmill.plans.panels import get_dense, get_regions
 from panelmill.plans.registry import Registry
 from panelmill.plans.sql import DENSE, FORECASTS, PEER, SPLIT, STANDARD
@@ -83,6 +86,31 @@ def ref_w09_two_month_sum(spark, sf_dir):
     return shocks.window_sum(get_split(spark, sf_dir), "z_loc")
 
 
+VECTOR = ["Все категории", "Продовольствие", "Здоровье", "Маркетплейсы", "Общественное питание", "Транспорт"]
+
+
+def vectors(split):
+    """(e, t, one column of local z per category)."""
+    return split.groupBy("e", "t").agg(*[F.max(F.when(F.col("c") == c, F.col("z_loc"))).alias(f"v{i}") for i, c in enumerate(VECTOR)])
+
+
+def all_scores(v):
+    """(e, t, topk, mahal, iforest, combo) of written vectors."""
+    names = [f"v{i}" for i in range(len(VECTOR))]
+    zero = [F.coalesce(F.col(c), F.lit(0.0)) for c in names]
+    top = F.slice(F.sort_array(F.array(*[x * x for x in zero]), asc=False), 1, 3)
+    fit = outliers.robust_location(v, names)
+    s = v.select("e", "t", F.sqrt(F.aggregate(top, F.lit(0.0), lambda a, b: a + b) / 3).alias("topk"), F.sqrt(F.greatest(fit.squared(names), F.lit(0.0))).alias("mahal"))
+    s = durable(s.join(outliers.isolation_scores(v, ["e", "t"], names), ["e", "t"]), "scores")
+    return shocks.combo(s, "topk", "mahal")
+
+
+@REG.add()
+def ref_p29_scores(spark, sf_dir):
+    """All four scores of the local z: robust distance and isolation trees are fitted, so there is no SQL; tests compare them with NumPy."""
+    return all_scores(durable(vectors(get_split(spark, sf_dir)), "vectors"))
+
+
 def get_scores(spark, sf_dir):
     return exact_rows(read_table(spark, sf_dir, "top_shocks_news"), "shock_id", "territory_id", "month", "topk", "mahal").where("topk is not null and not isnan(topk) and mahal is not null and not isnan(mahal)")
 
@@ -108,7 +136,7 @@ SELECT e, t, max(c) FILTER (WHERE rn = 1) AS main, coalesce(string_agg(CASE WHEN
 
 @REG.add(DRIVERS_SQL)
 def ref_t06_drivers(spark, sf_dir):
-    return shocks.drivers(get_standard(spark, sf_dir).where("d < 20"))
+    return shocks.drivers(get_standard(spark, sf_dir))
 
 
 @REG.add(
@@ -134,20 +162,31 @@ def ref_p35_regional_table(spark, sf_dir):
     return k.withColumn("flag", F.col("score") >= F.lit(q))
 
 
-@REG.add(
-    f"""WITH {PEER}, q AS (SELECT *, gf - median(gf) OVER (PARTITION BY c, t) AS u FROM gr), s AS (SELECT *, greatest(1.4826 * median(abs(u)) OVER (PARTITION BY c, t), 0.0001) AS s FROM q) SELECT e, c, t, u / s AS z FROM s""",
-    "z",
-)
+def standard_sql(rows: str) -> str:
+    """Common table expressions that standardise rows (e, c, t, d, level_prev) as `standardise` does: result zs."""
+    return f"""z0 AS (SELECT *, row_number() OVER (PARTITION BY c, t ORDER BY level_prev ASC NULLS LAST, e) AS rn, count(level_prev) OVER (PARTITION BY c, t) AS n FROM {rows}),
+z1 AS (SELECT *, CASE WHEN level_prev IS NULL THEN NULL WHEN n <= 1 THEN 0 ELSE greatest(CAST(floor(((rn - 1) * 5 + n - 2) / (n - 1)) AS INT) - 1, 0) END AS q FROM z0),
+z2 AS (SELECT *, median(d) OVER (PARTITION BY c, t, q) AS m FROM z1), z3 AS (SELECT *, greatest(1.4826 * median(abs(d - m)) OVER (PARTITION BY c, t, q), 0.0001) AS s FROM z2),
+zs AS (SELECT e, c, t, (d - m) / s AS z FROM z3)"""
+
+
+@REG.add(f"WITH {PEER}, j AS (SELECT e, c, t, gf AS d, level_prev FROM gr WHERE gf IS NOT NULL), {standard_sql('j')} SELECT * FROM zs", "z")
 def ref_p37_jump_detector(spark, sf_dir):
-    return shocks.jump_z(get_dense(spark, sf_dir))
+    return shocks.standardise(shocks.jump_deviations(get_dense(spark, sf_dir))).select("e", "c", "t", "z")
 
 
 GAPS_SQL = f"{DENSE}, gp AS (SELECT e, c, t, region, lf - median(lf) OVER (PARTITION BY c, t, region) AS g FROM lg JOIN reg USING (e))"
 
 
-@REG.add(f"WITH {GAPS_SQL} SELECT e, c, t, region, g, CASE WHEN count(g) OVER w >= 3 THEN g - avg(g) OVER w END AS dev FROM gp WINDOW w AS (PARTITION BY c, e ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)", "g dev")
+LEVEL_SQL = f"""{DENSE}, mr AS (SELECT region, count(DISTINCT e) AS k FROM reg JOIN (SELECT DISTINCT e FROM dense) USING (e) GROUP BY region),
+lv0 AS (SELECT e, c, t, y, lf - CASE WHEN k >= 5 THEN median(lf) OVER (PARTITION BY c, t, region) ELSE median(lf) OVER (PARTITION BY c, t) END AS r FROM lg JOIN reg USING (e) JOIN mr USING (region)),
+lv1 AS (SELECT e, c, t, lag(y) OVER (PARTITION BY c, e ORDER BY t) AS level_prev, CASE WHEN count(r) OVER w >= 3 THEN r - avg(r) OVER w END AS d FROM lv0 WINDOW w AS (PARTITION BY c, e ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT * FROM lv1 WHERE d IS NOT NULL AND level_prev IS NOT NULL)"""
+
+
+@REG.add(f"WITH {LEVEL_SQL}, {standard_sql('lv')} SELECT * FROM zs", "z")
 def ref_p37_level_detector(spark, sf_dir):
-    return shocks.level_detector(shocks.gaps(get_dense(spark, sf_dir), get_regions(spark, sf_dir)))
+    return shocks.standardise(shocks.level_deviations(get_dense(spark, sf_dir), get_regions(spark, sf_dir))).select("e", "c", "t", "z")
 
 
 @REG.add(
@@ -159,27 +198,41 @@ def ref_w20_cusum(spark, sf_dir):
     return shocks.cusum(get_split(spark, sf_dir), "z_loc").select("e", "c", "t", "cusum")
 
 
+HIT_SQL = """hit AS (SELECT DISTINCT territory_id AS e, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS t FROM top_shocks_news WHERE "уровень" = 'шок')"""
+PICK_SQL = "list_sort((SELECT list(DISTINCT c) FROM peer))[CAST((CAST(concat('0x', substr(md5(concat(e, '|', t)), 1, 16)) AS UBIGINT)::HUGEINT % 10000 * 1616 + CAST(concat('0x', substr(md5(concat(e, '|', t)), 17, 16)) AS UBIGINT)::HUGEINT % 10000) % 10000 AS INT) % (SELECT count(DISTINCT c) FROM peer) + 1]"
+CASES_SQL = {k: ("CASE WHEN c = pick THEN -1.0 END" if m is None else "CASE c " + " ".join(f"WHEN '{c}' THEN {v!r}" for c, v in m.items()) + " END") for k, m in shocks.SCENARIOS.items()}
+
+
 @REG.add(
-    f"""WITH {PEER}, k AS (SELECT DISTINCT territory_id AS e, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS t FROM top_shocks_news WHERE "уровень" = 'шок')
-SELECT p.e, p.c, p.t, p.d + CASE WHEN k.e IS NULL THEN 0.0 WHEN c = 'Здоровье' THEN ln(1.2) WHEN c = 'Общественное питание' THEN ln(1 - 0.14) WHEN c = 'Транспорт' THEN ln(0.9) WHEN c = 'Продовольствие' THEN ln(1.1) ELSE 0.0 END AS d FROM peer p LEFT JOIN k USING (e, t)""",
-    "d",
+    f"""WITH {PEER}, {HIT_SQL}, k AS (SELECT *, {PICK_SQL} AS pick FROM hit),
+m AS ({" UNION ALL ".join(f"SELECT '{s}' AS scenario, p.*, CASE WHEN k.e IS NOT NULL THEN {case} END AS m FROM peer p LEFT JOIN k USING (e, t)" for s, case in CASES_SQL.items())})
+SELECT scenario, x, e, c, t, d + coalesce(ln(1 + m * x), 0.0) AS d FROM m, (SELECT unnest([0.05, 0.1, 0.2, 0.3]) AS x)""",
+    "d x",
 )
 def ref_p31_injection(spark, sf_dir):
-    from panelmill.operators.asof import month_number
-
-    keys = read_table(spark, sf_dir, "top_shocks_news").where(F.col("уровень") == "шок").select(F.col("territory_id").alias("e"), month_number(F.col("month")).alias("t")).distinct()
-    return shocks.inject(get_peer(spark, sf_dir), keys, shocks.SCENARIOS["emergency"], 0.2).select("e", "c", "t", "d")
+    """Every scenario at every size, at the entity-months that are marked as shocks."""
+    peer = durable(get_peer(spark, sf_dir), "peer")
+    names = [r["c"] for r in peer.select("c").distinct().collect()]
+    keys = get_shocked(spark, sf_dir).withColumn("pick", shocks.drawn_category(names, "e", "t"))
+    parts = [shocks.inject(peer, keys, s, x).select(F.lit(s).alias("scenario"), F.lit(x).alias("x"), "e", "c", "t", "d") for s in shocks.SCENARIOS for x in shocks.SIZES]
+    return reduce(DataFrame.unionByName, parts)
 
 
-PATHS_SQL = f"""WITH {GAPS_SQL}, w AS (SELECT e, c, t, g, lag(g) OVER w AS b, """ + ", ".join(f"lead(g, {k}) OVER w AS g{k}" for k in range(1, 7)) + """ FROM gp WINDOW w AS (PARTITION BY c, e ORDER BY t)),
-ev AS (SELECT * FROM w WHERE abs(g - b) >= 0.3), pa AS (""" + " UNION ALL ".join(f"SELECT e, c, t, g - b AS size, {k} AS k, (g{k} - b) / nullif(g - b, 0) AS \"left\" FROM ev" for k in range(1, 7)) + ")"
+PATHS_SQL = f"""WITH {GAPS_SQL}, {HIT_SQL}, w AS (SELECT e, c, t, g, lag(g) OVER w AS b, """ + ", ".join(f"lead(g, {k}) OVER w AS g{k}" for k in range(1, 7)) + """ FROM gp WINDOW w AS (PARTITION BY c, e ORDER BY t)),
+ms AS (SELECT DISTINCT territory_id AS e, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS t, "главная категория" AS c FROM top_shocks_news WHERE "уровень" = 'шок'),
+ev AS (SELECT w.*, CASE WHEN ms.e IS NOT NULL THEN 'shock' ELSE 'jump' END AS kind FROM w LEFT JOIN ms USING (e, c, t) LEFT JOIN hit h ON h.e = w.e AND h.t = w.t WHERE abs(g - b) >= 0.05 AND (ms.e IS NOT NULL OR h.e IS NULL AND w.t >= (SELECT min(t) FROM hit))),
+pa AS (""" + " UNION ALL ".join(f"SELECT kind, e, c, t, g - b AS size, {k} AS k, (g{k} - b) / (g - b) AS \"left\" FROM ev" for k in range(1, 7)) + ")"
+MONTH_SQL = f"{PATHS_SQL}, mo AS (SELECT kind, e, c, t, any_value(size) AS size, CASE WHEN min(k) FILTER (WHERE abs(\"left\") < 1.0 / 3) IS NOT NULL THEN min(k) FILTER (WHERE abs(\"left\") < 1.0 / 3) WHEN max(\"left\") FILTER (WHERE k = 6) IS NOT NULL THEN 7 END AS month FROM pa GROUP BY kind, e, c, t)"
 
 
 def get_paths(spark, sf_dir):
-    g = shocks.gaps(get_dense(spark, sf_dir), get_regions(spark, sf_dir))
-    w = Window.partitionBy("c", "e").orderBy("t")
-    events = g.withColumn("b", F.lag("g", 1).over(w)).where(F.abs(F.col("g") - F.col("b")) >= 0.3)
-    return shocks.recovery(g, events)
+    """Recovery after marked shocks in their main category, and after equally large jumps of unmarked entity-months as control."""
+    g = durable(shocks.gaps(get_dense(spark, sf_dir), get_regions(spark, sf_dir)), "gaps")
+    hit = durable(get_shocked(spark, sf_dir), "hit")
+    main = read_table(spark, sf_dir, "top_shocks_news").where(F.col("уровень") == "шок").select(F.col("territory_id").alias("e"), month_number(F.col("month")).alias("t"), F.col("главная категория").alias("c")).distinct()
+    first = hit.agg(F.min("t")).first()[0]
+    other = g.where(F.col("t") >= F.lit(first)).join(hit, ["e", "t"], "left_anti").select("e", "c", "t")
+    return durable(shocks.recovery(g, main).withColumn("kind", F.lit("shock")).unionByName(shocks.recovery(g, other).withColumn("kind", F.lit("jump"))), "paths")
 
 
 @REG.add(f"{PATHS_SQL} SELECT * FROM pa", "size left")
@@ -187,16 +240,22 @@ def ref_p38_recovery_paths(spark, sf_dir):
     return get_paths(spark, sf_dir)
 
 
-@REG.add(f"{PATHS_SQL}, a AS (SELECT e, c, t, min(k) FILTER (WHERE abs(\"left\") < 1.0 / 3) AS hit, count(\"left\") AS n FROM pa GROUP BY ALL) SELECT e, c, t, CASE WHEN hit IS NOT NULL THEN hit WHEN n = 6 THEN 7 END AS month FROM a")
+@REG.add(f"{MONTH_SQL} SELECT kind, e, c, t, month FROM mo")
 def ref_p38_recovery_month(spark, sf_dir):
-    return shocks.recovery_month(get_paths(spark, sf_dir))
+    p = get_paths(spark, sf_dir)
+    return shocks.recovery_month(p.where("kind = 'shock'")).withColumn("kind", F.lit("shock")).unionByName(shocks.recovery_month(p.where("kind = 'jump'")).withColumn("kind", F.lit("jump")))
 
 
-@REG.add(f"{PATHS_SQL} SELECT CASE WHEN abs(size) < 0.4 THEN '0.3-0.4' WHEN abs(size) < 0.6 THEN '0.4-0.6' ELSE '0.6+' END AS bin, k, median(\"left\") AS med, count(\"left\") AS n FROM pa GROUP BY ALL", "med")
+@REG.add(f"{PATHS_SQL} SELECT kind, CASE WHEN abs(size) < 0.1 THEN 0 WHEN abs(size) < 0.2 THEN 1 WHEN abs(size) < 0.4 THEN 2 ELSE 3 END AS bin, k, median(\"left\") AS med, count(\"left\") AS n FROM pa GROUP BY ALL", "med")
 def ref_p38_recovery_bins(spark, sf_dir):
-    size = F.abs("size")
-    bin_ = F.when(size < 0.4, "0.3-0.4").when(size < 0.6, "0.4-0.6").otherwise("0.6+")
-    return get_paths(spark, sf_dir).groupBy(bin_.alias("bin"), "k").agg(F.median("left").alias("med"), F.count("left").alias("n"))
+    return get_paths(spark, sf_dir).groupBy("kind", shocks.size_class(F.col("size")).alias("bin"), "k").agg(F.median("left").alias("med"), F.count("left").alias("n"))
+
+
+@REG.add(f"{MONTH_SQL} SELECT kind, c, 100 * avg(CASE WHEN month <= 1 THEN 1.0 ELSE 0.0 END) AS within_1, 100 * avg(CASE WHEN month <= 3 THEN 1.0 ELSE 0.0 END) AS within_3, 100 * avg(CASE WHEN month > 6 THEN 1.0 ELSE 0.0 END) AS not_in_6, count(*) AS n FROM mo WHERE month IS NOT NULL GROUP BY kind, c", "within_1 within_3 not_in_6")
+def ref_p38_recovery_time(spark, sf_dir):
+    m = ref_p38_recovery_month(spark, sf_dir).where("month is not null")
+    part = lambda c: 100 * F.avg(c.cast("double"))
+    return m.groupBy("kind", "c").agg(part(F.col("month") <= 1).alias("within_1"), part(F.col("month") <= 3).alias("within_3"), part(F.col("month") > 6).alias("not_in_6"), F.count(F.lit(1)).alias("n"))
 
 
 DISAGREE_SQL = f"""WITH s AS (SELECT DISTINCT shock_id, topk, mahal FROM top_shocks_news WHERE isfinite(topk) AND isfinite(mahal)), q AS (SELECT quantile_cont(topk, 0.95) AS a, quantile_cont(mahal, 0.95) AS b FROM s), f AS (SELECT topk >= a AS x, mahal >= b AS y FROM s, q)
@@ -221,9 +280,8 @@ SELECT j.e, j.t, sum((z - a) * (zo - b)) / (sqrt(sum((z - a) ** 2) * sum((zo - b
 def ref_g15_last_year_alignment(spark, sf_dir):
     s = get_split(spark, sf_dir).select("e", "t", "c", F.coalesce("z_loc", F.lit(0.0)).alias("z"))
     o = s.select("e", (F.col("t") + 12).alias("t"), "c", F.col("z").alias("zo"))
-    w = Window.partitionBy("e", "t")
-    j = s.join(o, ["e", "t", "c"]).withColumn("a", F.col("z") - F.avg("z").over(w)).withColumn("b", F.col("zo") - F.avg("zo").over(w))
-    return j.groupBy("e", "t").agg((F.sum(F.col("a") * F.col("b")) / (F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2)) + 1e-12)).alias("r"))
+    j = s.join(o, ["e", "t", "c"])
+    return j.groupBy("e", "t").agg((F.covar_pop("z", "zo") * F.count(F.lit(1)) / (F.sqrt(F.var_pop("z") * F.var_pop("zo")) * F.count(F.lit(1)) + 1e-12)).alias("r"))
 
 
 @REG.add('SELECT month, "тип" AS kind, count(DISTINCT shock_id) AS n FROM top_shocks_news WHERE "уровень" = \'шок\' GROUP BY ALL')

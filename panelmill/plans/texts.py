@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelmill.operators import news
-from panelmill.operators.asof import month_number
+from panelmill.functions import month_number
 from panelmill.plans.registry import Registry
 from panelmill.sources.tables import durable, read_table
 

@@ -1,5 +1 @@
 """Sources, sinks and the durable hand-off between stages."""
-
-from panelmill.sources.tables import durable, exact_rows, read_table, row_digest, shared_dir, write_cells
-
-__all__ = ["durable", "exact_rows", "read_table", "row_digest", "shared_dir", "write_cells"]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import logging
+import re
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
+_TABLES: dict[str, SparkSession] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,34 +23,63 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a `local` master (one machine); on any
+    other master that would be a folder of one machine only, so it is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset on {master}: set it to a folder that all executors share")
         if not _LOCAL_DIR:
             _LOCAL_DIR.append(tempfile.mkdtemp(prefix="panelmill-"))
+            atexit.register(shutil.rmtree, _LOCAL_DIR[0], True)
         place = _LOCAL_DIR[0]
     return place.rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone at exit
-        pass
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor loses nothing.
 
-    The folder is removed when the Python process ends.
+    replaces is a durable table that nothing needs once this one is written (the state of the
+    round before); it is removed. The others stay until `release` or the end of the process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _TABLES:
+        atexit.register(_at_exit)
+    _TABLES[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    old = getattr(replaces, "_durable_path", None)
+    if old:
+        _remove(spark, old)
+        _TABLES.pop(old, None)
+    return out
+
+
+def release() -> int:
+    """Remove all durable tables of this process; call it when the results that read them have been used. The number removed."""
+    n = len(_TABLES)
+    while _TABLES:
+        path, spark = _TABLES.popitem()
+        _remove(spark, path)
+    return n
+
+
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception as e:  # the session may be gone by now; the tables then stay
+        logging.getLogger(__name__).warning("durable tables stay in the shared folder: %s", type(e).__name__)
 
 
 def row_digest(df: DataFrame) -> list:

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from panelmill.operators.asof import known_asof, month_number, with_release
+from panelmill.operators.asof import known_asof, with_release
+from panelmill.functions import month_number
 
 V = "e long, a string, k int, y int, q int, r int, id long, other string"
 

@@ -74,3 +74,30 @@ def test_quiet_sources_of_shock_scores_have_smaller_cases(spark, monkeypatch):
     monkeypatch.setattr(general, "read_table", lambda spark, folder, name: empty if name == "consumption" else shocks)
     got = {(r["territory_id"], r["month"]) for r in general.p5_found(spark, "").collect()}
     assert got == {(0, "2023-10"), (21, "2023-06")}
+
+
+def test_few_sources_also_lose_their_common_season(spark):
+    rng = np.random.default_rng(5)
+    for sources in (19, 20):
+        rows = [(e, "a", t, float(100 * np.exp(rng.normal(0, 0.03) + (0.9 if t % 12 == 11 else 0)))) for e in range(sources) for t in range(24)]
+        df = spark.createDataFrame(rows, "s long, c string, t int, v double")
+        assert implausible(df, ["s", "c"], "t", "v", True, F.col("v") <= 0, "c").count() == 0
+
+
+def test_an_absurd_date_costs_no_more_than_any_other(spark):
+    rng = np.random.default_rng(6)
+    rows = [(e, "a", t, float(100 * np.exp(rng.normal(0, 0.03)))) for e in range(20) for t in range(24)] + [(0, "a", 119_999, 100.0)]
+    rows[5] = (0, "a", 5, 900.0)
+    df = spark.createDataFrame(rows, "s long, c string, t int, v double")
+    assert [(r["s"], r["t"]) for r in implausible(df, ["s", "c"], "t", "v", True, F.col("v") <= 0, "c").collect()] == [(0, 5)]
+    from panelmill.operators.control import _parts, _table
+    import pandas as pd
+
+    pdf = pd.DataFrame({"_t": [np.arange(24)] * 19 + [np.append(np.arange(24), 119_999)], "_x": [np.ones(24)] * 19 + [np.ones(25)], "_y": [np.ones(24)] * 19 + [np.ones(25)], "_bad": [np.zeros(24, bool)] * 19 + [np.zeros(25, bool)]})
+    assert max(_table(p)[1].size for p in _parts(pdf)) <= 20 * 25
+    assert sorted(len(p) for p in _parts(pdf, 60)) and sum(len(p) for p in _parts(pdf, 60)) == 20
+
+
+def test_runs_need_neighbouring_steps():
+    x = np.full((1, 5), 7.0)
+    assert stuck_runs(x, 4, np.array([[0, 1, 2, 4, 5]])).sum() == 0 and stuck_runs(x, 4, np.array([[0, 1, 2, 3, 9]])).sum() == 4

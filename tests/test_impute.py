@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 
 from panelmill.operators.impute import impute_chained
@@ -54,3 +55,31 @@ def test_hopeless_and_empty_tables(spark):
     assert len(rows) == 3 and all(r["a"] is None and r["a_filled"] and r["kind"] is None and r["kind_filled"] for r in rows)
     assert {r["b"] for r in rows} == {1.0}
     assert impute_chained(df.limit(0), NUM, ["kind"], "g", "id").count() == 0
+
+
+def test_every_level_can_be_filled_in(spark):
+    rows = [(i, "g", f"level {(i // 5) % 40}" if i % 5 else None, float(i % 7)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, g string, k string, x double")
+    got = impute_chained(df, {"x": (0.0, 10.0)}, ["k"], "g", "id", rounds=1)
+    assert len({r["k"] for r in got.where("k_filled").collect()}) == 40
+    with pytest.raises(ValueError, match="levels"):
+        impute_chained(df, {}, ["k"], "g", "id", most_levels=30)
+
+
+def test_a_later_field_sees_the_fills_of_the_same_round(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(0, 1, 1500)
+    rows = [(i, "g", float(v) if i % 3 else None, float(2 * v + rng.normal(0, 0.01)) if i % 4 else None, float(v + rng.normal(0, 0.01))) for i, v in enumerate(a)]
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, z double")
+    got = impute_chained(df, {"a": (-9.0, 9.0), "b": (-9.0, 9.0), "z": (-9.0, 9.0)}, [], "g", "id", rounds=1, draw=False).collect()
+    assert np.mean([abs(r["b"] - 2 * a[r["id"]]) for r in got if r["b_filled"]]) < 0.1
+
+
+def test_masked_cells_are_found_again_better_than_by_the_group(spark):
+    from panelmill.operators.impute import masked_errors
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, 1200)
+    df = spark.createDataFrame([(i, str(i % 3), float(v), float(v + rng.normal(0, 0.2)), "hi" if v > 0 else "lo") for i, v in enumerate(x)], "id long, g string, x double, y double, k string")
+    got = {r["field"]: r for r in masked_errors(df, {"x": (-9.0, 9.0), "y": (-9.0, 9.0)}, ["k"], "g", "id").collect()}
+    assert set(got) == {"x", "y", "k"} and all(r["fitted_error"] < 0.7 * r["group_error"] for r in got.values())

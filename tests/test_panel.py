@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelmill.functions import hash_share
 from panelmill.operators import external, metrics, news, panel, shocks
 from panelmill.plans import backtest
 
@@ -61,12 +62,16 @@ def test_simple_models_on_short_and_long_history(spark):
     got = {(r["model"], r["step"]): r["y_pred"] for r in panel.simple_forecasts(d, 23, 14).where("e = 1").collect()}
     assert got["naive", 5] == 33 and got["mean_3", 1] == 32 and got["drift", 2] == 35 and got["seasonal_naive", 1] == 22 == got["seasonal_naive", 13]
     assert math.isclose(got["seasonal_naive_growth", 1], 22 * (33 + 32 + 31) / (21 + 20 + 19))
+    flat = long(spark, {(1, "a"): [100.0] * 16})
+    for months in (12, 13, 14, 15, 16):
+        growth = [r["y_pred"] for r in panel.simple_forecasts(flat, months - 1, 2, 0).where("model = 'seasonal_naive_growth'").collect()]
+        assert growth == [100.0, 100.0]
     short = {(r["model"], r["step"]): r["y_pred"] for r in panel.simple_forecasts(d, 11, 2).where("e = 2").collect()}
     assert short["seasonal_naive_growth", 1] == 1.0 and short["drift", 1] == 13
 
 
 def test_protocol_and_perfect_metrics(spark):
-    assert metrics.folds(6) == [12, 18] and metrics.forecast_plan() == {12: 12, 13: 1, 14: 1, 15: 3, 16: 1, 17: 1, 18: 6, 19: 1, 20: 1, 21: 3, 22: 1, 23: 1}
+    assert [o for o in range(12, 24) if metrics.serves(o, 6)] == [12, 18] and metrics.forecast_plan() == {12: 12, 13: 1, 14: 1, 15: 3, 16: 1, 17: 1, 18: 6, 19: 1, 20: 1, 21: 3, 22: 1, 23: 1}
     rows = spark.createDataFrame([("m", float(y), float(y), 5.0) for y in (1, 2, 7)], "model string, y_true double, y_pred double, y_last double")
     r = metrics.metric_table(rows, ["model"]).first()
     assert (r["MAE"], r["WAPE"], r["R2"], r["R2_growth"], r["n"]) == (0, 0, 1, 1, 3)
@@ -79,6 +84,8 @@ def test_shock_types_topk_and_recovery(spark):
     assert math.isclose(shocks.top_rms(z, "z").first()["topk"], 5 / math.sqrt(3))
     paths = spark.createDataFrame([(1, "a", 0, k, x) for k, x in enumerate([0.5, 0.2, 0.9, 0.9, 0.9, 0.9], 1)] + [(2, "a", 0, k, 0.9) for k in range(1, 7)] + [(3, "a", 0, k, 0.9 if k < 3 else None) for k in range(1, 7)], "e long, c string, t int, k int, left double")
     assert {r["e"]: r["month"] for r in shocks.recovery_month(paths).collect()} == {1: 2, 2: 7, 3: None}
+    gap = spark.createDataFrame([(1, "a", 0, k, None if k == 2 else 0.9) for k in range(1, 7)], "e long, c string, t int, k int, left double")
+    assert shocks.recovery_month(gap).first()["month"] == 7
 
 
 def test_cusum_is_the_best_start_of_three(spark):
@@ -97,13 +104,17 @@ def test_versions_bounds_fallback_and_draws(spark):
     assert got == {("c1", 2021): 1, ("c1", 2022): 2, ("c1", 2030): 2, ("c2", 2021): 3, ("c3", 2023): None}
     import hashlib
 
-    d = spark.createDataFrame([(str(i),) for i in range(50)], "p string").select("p", external.hash_share(F.col("p")).alias("h")).collect()
+    d = spark.createDataFrame([(str(i),) for i in range(50)], "p string").select("p", hash_share(F.col("p")).alias("h")).collect()
     assert all(r["h"] == int(hashlib.md5(r["p"].encode()).hexdigest(), 16) % 10000 for r in d)
 
 
 def test_fasting_share_and_expanding_median(spark):
-    m = spark.createDataFrame([("2023-03-01",), ("2023-04-01",), ("2023-07-01",)], "m string").select(panel.ramadan_share(F.col("m").cast("date"), [("2023-03-23", "2023-04-20")]).alias("s"))
-    assert np.allclose([r["s"] for r in m.collect()], [9 / 31, 20 / 30, 0])
+    assert np.allclose([panel.fasting_share(2023 * 12 + m) for m in (2, 3, 6)], [9 / 31, 20 / 30, 0])
+    with pytest.raises(ValueError):
+        panel.fasting_share(2031 * 12)
+    r = spark.createDataFrame([(1, "5"), (2, "77")], "e long, region string")
+    got = {(x["e"], x["t"]): x for x in panel.fasting_features(r, [2023 * 12 + 2]).collect()}
+    assert math.isclose(got[1, 2023 * 12 + 2]["ramadan_next"], 0.95 * 20 / 30) and got[2, 2023 * 12 + 2]["ramadan_t"] == 0
     c = spark.createDataFrame([(1, t, float(n)) for t, n in enumerate([3, 1, 4])], "territory_id long, t int, n double")
     got = [r["s"] for r in news.spikes(c, "n", "s").orderBy("t").collect()]
     assert got[0] is None and math.isclose(got[1], math.log(2 / 4)) and math.isclose(got[2], math.log(5 / 3))
@@ -115,3 +126,47 @@ def test_model_names_inherit(spark):
     with pytest.raises(ValueError):
         backtest.model_config("chronos2")
     assert backtest.resolve({"a": {"x": 1, "p": {"d": 1}}, "b": {"base": "a", "p": {"e": 2}}}, "b") == {"x": 1, "p": {"e": 2}}
+
+
+def test_a_single_wrong_date_does_not_blow_up_the_grid(spark):
+    d = spark.createDataFrame([(1, "a", 24276, 1.0), (1, "a", 24277, 2.0), (2, "a", 119_999, 3.0)], "e long, c string, t int, y double")
+    with pytest.raises(ValueError, match="months"):
+        panel.densify(d)
+    assert panel.densify(d, last=24277).count() == 4
+
+
+def test_season_profile_fills_unseen_months_from_another(spark):
+    rng = np.random.default_rng(0)
+    season = np.array([0.0, 0.1, -0.1, 0.2, 0, 0, 0.05, 0, 0, 0, 0, 0.3])
+    d = long(spark, {(e, "a"): list(np.exp(season + rng.normal(0, 1e-6, 12) + e)) for e in range(5)})
+    nat = spark.createDataFrame([("a", m, float(v)) for m, v in enumerate(season - season.mean())], "c string, moy int, level double")
+    got = {r["moy"]: r["level"] for r in panel.season_profile(d, nat).collect()}
+    assert np.allclose([got[m] for m in range(12)], season - season.mean(), atol=1e-4)
+
+
+def test_robust_distance_and_isolation_find_planted_rows(spark):
+    from panelmill.operators import outliers
+
+    rng = np.random.default_rng(4)
+    x = rng.multivariate_normal([0, 0, 0], [[1, 0.6, 0], [0.6, 1, 0], [0, 0, 4]], 1500)
+    x[:30] += [6, -6, 0]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "e long, v0 double, v1 double, v2 double")
+    fit = outliers.robust_location(df, ["v0", "v1", "v2"])
+    clean = x[30:]
+    assert np.allclose(np.linalg.inv(fit.inverse), np.cov(clean.T), rtol=0.25, atol=0.15) and np.allclose(fit.mean, clean.mean(0), atol=0.15)
+    far = df.select("e", fit.squared(["v0", "v1", "v2"]).alias("d")).orderBy(F.desc("d")).limit(30).collect()
+    assert {r["e"] for r in far} == set(range(30))
+    d = x - fit.mean
+    got = {r["e"]: r["d"] for r in df.select("e", fit.squared(["v0", "v1", "v2"]).alias("d")).collect()}
+    assert np.allclose([got[i] for i in range(1500)], np.einsum("ij,jk,ik->i", d, fit.inverse, d))
+    s = {r["e"]: r["iforest"] for r in outliers.isolation_scores(df, ["e"], ["v0", "v1", "v2"], trees=60, sample=256).collect()}
+    assert np.mean([s[i] for i in range(30)]) > 1.2 * np.mean([s[i] for i in range(30, 1500)])
+    assert abs(outliers.chi2_point(0.975, 6) - 14.449) < 0.01
+    assert outliers.isolation_scores(df.limit(0), ["e"], ["v0"]).count() == 0
+    assert outliers.robust_location(df.limit(0), ["v0"]).mean.tolist() == [0.0]
+
+
+def test_hits_within_months(spark):
+    scores = spark.createDataFrame([(e, t, 10.0 if (e, t) in {(1, 3), (2, 4)} else float(e + t) / 100) for e in range(1, 60) for t in range(6)], "e long, t int, score double")
+    keys = spark.createDataFrame([(1, 3), (2, 3), (3, 3)], "e long, t int")
+    assert [round(shocks.hit_within(scores, keys, k).first()["found"], 4) for k in (0, 1)] == [round(1 / 3, 4), round(2 / 3, 4)]
