@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelmill.operators.ranks import cumulate
 from panelmill.sources.tables import durable
 
 
@@ -46,27 +47,6 @@ def combine(summary: DataFrame, group: Sequence[str]) -> DataFrame:
     return summary.groupBy(*[F.col(f"`{g}`") for g in group], "measure", "kind", "value").agg(F.sum("n").alias("n"))
 
 
-def cumulate(cells: DataFrame, key: str, order: Sequence[str], n: str, per_octave: int = 16) -> DataFrame:
-    """Adds before (rows of the key ordered strictly earlier), upto (before + own) and total.
-
-    cells has one row per (key, order...) with n rows each; order[0] is a number. Cells are
-    sorted within ranges of order[0] (per_octave ranges for each doubling of its size), and
-    the totals of all earlier ranges are added as an offset: no task holds a whole key, and
-    a range boundary depends on the value only, so a recomputed task agrees with the rest.
-    """
-    v = F.col(order[0])
-    log = F.floor(F.log2(F.abs(v)) * per_octave)
-    place = F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * (log + 20_000 * per_octave)).cast("bigint")
-    cells = cells.withColumn("_r", place)
-    ranges = cells.groupBy(key, "_r").agg(F.sum(n).alias("_n"))
-    line = Window.partitionBy(key)
-    ranges = ranges.select(F.col(key).alias("_k"), F.col("_r").alias("_rr"), F.coalesce(F.sum("_n").over(line.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_n").over(line).alias("total"))
-    inside = Window.partitionBy(key, "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = cells.withColumn("_run", F.sum(n).over(inside))
-    out = run.join(ranges, (F.col(key) == F.col("_k")) & (F.col("_r") == F.col("_rr")))
-    return out.withColumn("upto", F.col("_off") + F.col("_run")).withColumn("before", F.col("upto") - F.col(n)).drop("_r", "_k", "_rr", "_off", "_run")
-
-
 def percentiles(summary: DataFrame, group: Sequence[str], probs: Sequence[float], per_octave: int = 16) -> DataFrame:
     """Percentiles of combined summaries: group columns, measure, p, value, n, n_null, n_nan, n_inf.
 

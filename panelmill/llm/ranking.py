@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.percentiles import cumulate
+from panelmill.operators.ranks import cumulate
 from panelmill.sources.tables import durable, exact_rows
 
 
