@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.sources.tables import durable
@@ -22,27 +20,30 @@ def words(text: Column) -> Column:
 def word_classes(df: DataFrame, item: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """(members: item, class_id; classes: class_id, hashes): rows with one and the same set of words form a class, named by its least item.
 
-    Rows whose set is null or empty belong to no class; repeated rows count once.
+    Rows whose set is null or empty belong to no class; repeated rows count once; an item that comes
+    with several sets keeps the one of the least digest. Sets are cut into words once and written; digests
+    alone are grouped, with map-side combine, so a text copied any number of times is one short row a task.
     """
     hashes = F.array_sort(F.transform(tokens, lambda w: F.xxhash64(w)))
     rows = df.select(F.col(f"`{item}`").alias("item"), hashes.alias("hashes")).where("item is not null and size(hashes) > 0")
-    named = durable(rows.select("item", F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(5), F.reverse("hashes")).alias("d2")).distinct(), "digests")
-    named = named.join(named.groupBy("d1", "d2").agg(F.min("item").alias("class_id")), ["d1", "d2"]).select("item", "class_id", "d1", "d2")
-    named = durable(named, "members")
-    # the words themselves are read again for one row of each class, which is cheaper than keeping those of all rows
-    # (joined on the item alone, so that the grouping needs no second exchange)
-    first = named.where("item = class_id").select("item", "d1", "d2")
-    same = (F.xxhash64("hashes") == F.col("d1")) & (F.xxhash64(F.lit(5), F.reverse("hashes")) == F.col("d2"))
-    classes = rows.join(first, "item").where(same).groupBy("item").agg(F.first("hashes").alias("hashes"))
-    return named.select("item", "class_id").distinct(), classes.select(F.col("item").alias("class_id"), "hashes")
+    sets = durable(rows.select("item", F.struct(F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(5), F.reverse("hashes")).alias("d2")).alias("d"), "hashes"), "sets")
+    own = sets.groupBy("item").agg(F.min("d").alias("d"))
+    members = durable(own.join(own.groupBy("d").agg(F.min("item").alias("class_id")), "d").select("item", "class_id", "d"), "members")
+    first = members.where("item = class_id").select(F.col("item").alias("class_id"), F.col("d").alias("_d"))
+    classes = sets.join(first, (F.col("item") == F.col("class_id")) & (F.col("d") == F.col("_d"))).groupBy("class_id").agg(F.first("hashes").alias("hashes"))
+    return members.select("item", "class_id"), classes
 
 
 def signatures(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> DataFrame:
-    """class_id, hashes, sig (packed low bits of the first SLOTS minima), keys (32 bits per band)."""
+    """class_id, hashes, sig (packed bits of the first SLOTS minima), keys (32 bits per band).
+
+    Each minimum is that of a * x + b modulo 2**32 over the words; the two bits that are kept are
+    mixed from its lower half, where words that differ at all agree by chance only.
+    """
     count = bands * rows
     draw = np.random.default_rng(seed)
-    a = draw.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = draw.integers(0, 2**63, count, dtype=np.uint64)
+    a = draw.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = draw.integers(0, 2**32, count, dtype=np.uint32)
     slots = min(SLOTS, count // 32 * 32)
 
     def run(batches):
@@ -50,49 +51,48 @@ def signatures(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> Dat
             if not len(pdf):
                 continue
             n = pdf["hashes"].map(len).to_numpy()
-            flat = np.concatenate(pdf["hashes"].to_numpy()).astype(np.int64).view(np.uint64)
-            start = np.concatenate([[0], n.cumsum()[:-1]])
-            low = np.empty((count, len(pdf)), np.uint32)
+            wide = np.concatenate(pdf["hashes"].to_numpy()).astype(np.int64).view(np.uint64)
+            flat = (wide >> np.uint64(32)).astype(np.uint32) ^ wide.astype(np.uint32)
+            start = n.cumsum() - n
+            low, x = np.empty((count, len(pdf)), np.uint32), np.empty_like(flat)
             for k in range(count):
-                low[k] = np.minimum.reduceat(((flat * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32), start)
-            bits = (low[:slots] & np.uint32(3)).astype(np.uint64).reshape(slots // 32, 32, -1)
-            packed = np.bitwise_or.reduce(bits << (np.uint64(2) * np.arange(32, dtype=np.uint64))[None, :, None], axis=1)
+                np.multiply(flat, a[k], out=x)
+                np.add(x, b[k], out=x)
+                np.minimum.reduceat(x, start, out=low[k])
+            two = (low[:slots] * np.uint32(0x9E3779B1)) >> np.uint32(14) & np.uint32(3)
+            packed = np.bitwise_or.reduce(two.astype(np.uint64).reshape(slots // 32, 32, -1) << (np.uint64(2) * np.arange(32, dtype=np.uint64))[None, :, None], axis=1)
             key = np.zeros((bands, len(pdf)), np.uint64)
             for r in range(rows):
                 key = (key ^ low[r::rows].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             keys = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pd.DataFrame({"class_id": pdf["class_id"], "hashes": pdf["hashes"], "sig": list(packed.T.view(np.int64)), "keys": list(keys.T)})
+            yield pd.DataFrame({"class_id": pdf["class_id"], "hashes": pdf["hashes"], "sig": list(np.ascontiguousarray(packed.T).view(np.int64)), "keys": list(np.ascontiguousarray(keys.T))})
 
     return classes.mapInPandas(run, "class_id bigint, hashes array<bigint>, sig array<bigint>, keys array<int>")
 
 
-def estimated(a: Column, b: Column, longs: int) -> Column:
-    """Similarity from two packed signatures, corrected for chance matches of the low bits."""
-    miss = [F.bit_count((x := F.element_at(a, i).bitwiseXOR(F.element_at(b, i))).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for i in range(1, longs + 1)]
-    agree = 1 - reduce(lambda p, q: p + q, miss) / F.lit(float(longs * 32))
+def signed_classes(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Signatures of all classes, written once."""
+    return durable(signatures(classes, bands, rows), "signatures")
+
+
+def estimated(a: Column, b: Column, longs: Column) -> Column:
+    """Similarity from two packed signatures of so many longs, corrected for chance matches of the low bits."""
+    miss = F.zip_with(a, b, lambda p, q: F.bit_count((x := p.bitwiseXOR(q)).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    agree = 1 - F.aggregate(miss, F.lit(0), lambda p, q: p + q) / (longs * 32.0)
     chance = 2.0**-BITS
     return (agree - chance) / (1 - chance)
 
 
-def similar_classes(classes: DataFrame, threshold: float, bands: int, rows: int, margin: float = 0.12) -> DataFrame:
-    """Pairs (a, b, similarity) of classes, a < b, with Jaccard similarity >= threshold.
+def band_keys(signed: DataFrame) -> DataFrame:
+    """(key, class_id): one row for each band of each class."""
+    keyed = signed.select("class_id", F.posexplode("keys").alias("band", "key"))
+    return keyed.select((F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key")).alias("key"), "class_id")
 
-    Candidates share one of `bands` keys of `rows` minima; those whose estimated
-    similarity reaches threshold - margin (over four standard errors) are checked
-    exactly. A pair of similarity s is missed with a chance of (1 - s**rows)**bands.
 
-    How it scales: a class is one row however many copies it has. Keys that occur once
-    are dropped before the pairing, which joins the two sides on the key, so AQE can split a
-    hot key; candidates carry two ids until the signatures, then the words, are joined.
-    """
-    signed = durable(signatures(classes, bands, rows), "signatures")
-    longs = min(SLOTS, bands * rows // 32 * 32) // 32
-    keyed = signed.select("class_id", F.posexplode("keys").alias("band", "key")).select("class_id", (F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key")).alias("key"))
-    keyed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    keyed = durable(keyed, "buckets")
-    left, right = keyed.select("key", F.col("class_id").alias("a")), keyed.select("key", F.col("class_id").alias("b"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
+def verified(pairs: DataFrame, signed: DataFrame, threshold: float, margin: float = 0.12) -> DataFrame:
+    """Pairs (a, b, similarity) with Jaccard similarity >= threshold: first by the estimate from the signatures (threshold - margin, over four standard errors), then exactly."""
+    longs = F.size("sa")
     sig = signed.select("class_id", "sig")
     close = pairs.join(sig.select(F.col("class_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("class_id").alias("b"), F.col("sig").alias("sb")), "b")
     close = close.where(estimated(F.col("sa"), F.col("sb"), longs) >= threshold - margin).select("a", "b")
@@ -102,22 +102,59 @@ def similar_classes(classes: DataFrame, threshold: float, bands: int, rows: int,
     return both.select("a", "b", (common / (F.size("ha") + F.size("hb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def components(links: DataFrame, max_rounds: int = 30) -> DataFrame:
+def similar_classes(signed: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b, similarity) of classes, a < b, with Jaccard similarity >= threshold.
+
+    Candidates share a band key: an equi-join of the keys with themselves, both sides from one
+    exchange, whose hot keys AQE splits over tasks. With bands of r minima a pair of
+    similarity s is missed with a chance of (1 - s**r)**bands. The number of rows is that of the
+    pairs there are; `linking_pairs` serves where only groups are wanted.
+    """
+    keyed = band_keys(signed)
+    left, right = keyed.select("key", F.col("class_id").alias("a")), keyed.select("key", F.col("class_id").alias("b"))
+    return verified(left.join(right, "key").where("a < b").select("a", "b").distinct(), signed, threshold)
+
+
+def linking_pairs(signed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that link the same groups as `similar_classes`, without all pairs of a tight group.
+
+    First every class is compared with the least class of each of its keys; the links found
+    make components. Two classes of one component need no further comparison, so of
+    each key that holds several components only the classes outside its first component meet
+    the other classes of the key. A key whose classes are all alike thus costs one
+    comparison a class, and no link between two components is passed over.
+    """
+    keyed = durable(band_keys(signed), "keys")
+    least = keyed.groupBy("key").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("key", "a")
+    stars = keyed.join(least, "key").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct()
+    found = durable(verified(stars, signed, threshold).select("a", "b"), "links")
+    roots = components(found)
+    held = keyed.join(least, "key").select("key", "class_id").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("key", "class_id", F.coalesce("root", "class_id").alias("root"))
+    held = durable(held, "held", keyed)
+    mixed = held.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other")).where("main < other").select("key", "main")
+    held = held.join(mixed, "key")
+    outside = held.where("root <> main").select("key", F.col("class_id").alias("x"), F.col("root").alias("rx"))
+    rest = outside.join(held.select("key", F.col("class_id").alias("y"), F.col("root").alias("ry")), "key").where("rx <> ry")
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.unionByName(durable(verified(rest, signed, threshold).select("a", "b"), "links"))
+
+
+def components(links: DataFrame) -> DataFrame:
     """node, root (least node of its component) from links (a, b); only nodes with a link appear.
 
     Large-star and small-star steps until nothing changes; each round is written to the
-    shared folder. Neighbours are never gathered: a step is a minimum per node and a join.
+    shared folder and the one before is removed. Neighbours are never gathered: a step is a minimum per node and a join.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = durable(small.where("u != v").distinct(), "edges")
+        edges = durable(small.where("u != v").distinct(), "edges", edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -133,9 +170,14 @@ def near_pairs(members: DataFrame, close: DataFrame) -> DataFrame:
     return wide.where("(a = b and x < y) or (a < b and x != y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def near_groups(members: DataFrame, close: DataFrame) -> DataFrame:
-    """One row per item: item, class_id, group_id (least class of its component), n_links (different texts that it is similar to)."""
-    roots = components(close.select("a", "b"))
-    ends = close.select(F.col("a").alias("c")).unionByName(close.select(F.col("b").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    joined = members.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").join(ends.withColumnRenamed("c", "class_id"), "class_id", "left")
-    return joined.select("item", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+def near_groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per item: item, class_id, group_id (least class of its component)."""
+    roots = components(links.select("a", "b"))
+    return members.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("item", "class_id", F.coalesce("root", "class_id").alias("group_id"))
+
+
+def link_counts(members: DataFrame, close: DataFrame) -> DataFrame:
+    """One row per item: item, class_id, n_links (different texts that it is similar to)."""
+    close = durable(close.select("a", "b"), "close")
+    ends = close.select(F.col("a").alias("class_id")).unionByName(close.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    return members.join(ends, "class_id", "left").select("item", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))

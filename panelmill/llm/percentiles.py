@@ -12,6 +12,10 @@ from panelmill.operators.ranks import cumulate
 from panelmill.sources.tables import durable
 
 
+_MIDDLE = 500_000_000  # cell of 1.0; cells reach 1420 / rel_error to either side of it
+_TOP = 2_000_000_000  # cells from here on stand for what is no number
+
+
 def sketched(x: Column, rel_error: float) -> Column:
     """The representative of x: within rel_error * |x| of it, and the same for all values of a cell; x itself for rel_error 0.
 
@@ -26,6 +30,24 @@ def sketched(x: Column, rel_error: float) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * F.pow(F.lit(gamma), cell) * (2 / (gamma + 1)))
 
 
+def cell_number(x: Column, rel_error: float) -> Column:
+    """Cell of a finite number as an integer: the sign of x and its logarithmic place; equal for equal representatives. 0 is the cell of 0."""
+    gamma = (1 + rel_error) / (1 - rel_error)
+    place = F.ceil(F.ln(F.abs(x)) / math.log(gamma)).cast("int")
+    return F.when(x == 0, F.lit(0)).when(x > 0, place + _MIDDLE).otherwise(-place - _MIDDLE)
+
+
+def cell_value(cell: Column, rel_error: float) -> Column:
+    """Representative of a cell of `cell_number`."""
+    gamma = (1 + rel_error) / (1 - rel_error)
+    return F.when(cell == 0, F.lit(0.0)).otherwise(F.signum(cell) * F.pow(F.lit(gamma), (F.abs(cell) - _MIDDLE).cast("double")) * (2 / (gamma + 1)))
+
+
+def kind_of(x: Column) -> Column:
+    """'value', 'null', 'nan' or 'inf'."""
+    return F.when(x.isNull(), "null").when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").otherwise("value")
+
+
 def summaries(df: DataFrame, group: Sequence[str], measures: Sequence[str], rel_error: float = 0.005) -> DataFrame:
     """Mergeable summary: group columns, measure, kind, value, n.
 
@@ -36,12 +58,39 @@ def summaries(df: DataFrame, group: Sequence[str], measures: Sequence[str], rel_
     """
     cells = [F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").cast("double").alias("x")) for m in measures]
     x = F.col("c.x")
-    kind = F.when(x.isNull(), "null").when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").otherwise("value")
+    kind = kind_of(x)
     rows = df.select(*[F.col(f"`{g}`") for g in group], F.explode(F.array(*cells)).alias("c"))
     rows = rows.select(*[F.col(f"`{g}`") for g in group], "c.measure", kind.alias("kind"), F.when(kind == "value", sketched(x, rel_error)).alias("value"))
     return rows.groupBy(*[F.col(f"`{g}`") for g in group], "measure", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_summaries(df: DataFrame, digest: Column, group: Sequence[str], measures: Sequence[str], rel_error: float = 0.005) -> DataFrame:
+    """`summaries` of df with exact copies (equal `digest`, group and cells) counted once.
+
+    Rows become short before they move: a digest, the group, and one integer a measure. They are
+    spread by all of it, so no group, however hot, meets in one task; each task counts
+    its cells, and only those counts are exchanged by group.
+    """
+    code = {k: i for i, k in enumerate(("null", "nan", "inf"), _TOP)}
+    packed = []
+    for m in measures:
+        x = F.col(f"`{m}`").cast("double")
+        kind = kind_of(x)
+        number = cell_number(x, rel_error)
+        for k, v in code.items():
+            number = F.when(kind == k, F.lit(v)).otherwise(number)
+        packed.append(number.alias(f"_m_{m}"))
+    keys = [F.col(f"`{g}`") for g in group]
+    rows = df.select(*keys, digest.alias("_digest"), *packed).distinct()
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`_m_{m}`").alias("cell")) for i, m in enumerate(measures)])).alias("c"))
+    counts = long.select(*keys, "c.i", "c.cell").groupBy(*keys, "i", "cell").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.lit("value")
+    for k, v in code.items():
+        kind = F.when(F.col("cell") == v, k).otherwise(kind)
+    name = F.element_at(F.array(*[F.lit(m) for m in measures]), F.col("i") + 1)
+    return counts.select(*keys, name.alias("measure"), kind.alias("kind"), F.when(F.col("cell") < _TOP, cell_value(F.col("cell"), rel_error)).alias("value"), "n")
+
+
 def combine(summary: DataFrame, group: Sequence[str]) -> DataFrame:
     """Summary by fewer group columns (or the union of several summaries) as one summary."""
     return summary.groupBy(*[F.col(f"`{g}`") for g in group], "measure", "kind", "value").agg(F.sum("n").alias("n"))

@@ -22,25 +22,17 @@ def _forecast_values(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mergeable summaries per run_date, written to the shared folder.
-
-    Rows are spread by day, group and a salt of their digest, so that one exchange serves the
-    dropping of copies and the counting, and a hot group is counted by as many tasks as salts.
-    """
+    """Mergeable summaries per run_date, written to the shared folder."""
     df = read_table(spark, sf_dir, "forecasts")
-    salts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    group = ["run_date", "category", "step", "salt"]
-    rows = df.select(*group[:3], "y_true", "y_pred", row_digest(df)[0]).withColumn("salt", F.pmod("_d1", F.lit(salts)))
-    rows = rows.repartition(*group).distinct().drop("_d1")
-    return durable(percentiles.summaries(rows, group, ["y_true", "y_pred"], REL_ERROR), "days")
+    return durable(percentiles.distinct_summaries(df, row_digest(df)[0], ["run_date", "category", "step"], ["y_true", "y_pred"], REL_ERROR), "days")
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.percentiles(_daily(spark, sf_dir), ["category", "step"], PROBS)
+    return percentiles.percentiles(_daily(spark, sf_dir), ["category", "step"], PROBS).withColumn("value", F.round("value", 6))
 
 
 def p1_daily_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.combine(_daily(spark, sf_dir), ["run_date", "category", "step"])
+    return _daily(spark, sf_dir).withColumn("value", F.round("value", 6))
 
 
 def p1_percentiles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,17 +47,22 @@ def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _headlines(spark: SparkSession, sf_dir: str):
     df = read_table(spark, sf_dir, "top_shocks_news").select("shock_id", HEADLINES)
     members, classes = neardup.word_classes(df, "shock_id", neardup.words(F.col(HEADLINES)))
-    return members, neardup.similar_classes(classes, 0.6, bands=90, rows=6)
+    return members, neardup.signed_classes(classes, bands=90, rows=6)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, close = _headlines(spark, sf_dir)
-    return neardup.near_pairs(members, close).select(F.col("a").alias("shock_a"), F.col("b").alias("shock_b"))
+    members, signed = _headlines(spark, sf_dir)
+    return neardup.near_pairs(members, neardup.similar_classes(signed, 0.6)).select(F.col("a").alias("shock_a"), F.col("b").alias("shock_b"))
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, close = _headlines(spark, sf_dir)
-    return neardup.near_groups(members, durable(close, "close")).withColumnRenamed("item", "shock_id")
+    members, signed = _headlines(spark, sf_dir)
+    return neardup.near_groups(members, neardup.linking_pairs(signed, 0.6)).withColumnRenamed("item", "shock_id")
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, signed = _headlines(spark, sf_dir)
+    return neardup.link_counts(members, neardup.similar_classes(signed, 0.6)).withColumnRenamed("item", "shock_id")
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +109,7 @@ QUERIES = {
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p3_links": p3_links,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_mix": p8_mix,
@@ -138,8 +136,32 @@ SELECT q.category, q.step, q.measure, q.k / 10000 AS p, o.value, q.n, q.n_null,
 FROM q LEFT JOIN o ON o.category = q.category AND o.step = q.step AND o.measure = q.measure AND o.rn = greatest((q.k * q.n + 9999) // 10000, 1)"""
 
 
+def _daily_sql() -> str:
+    g = repr((1 + REL_ERROR) / (1 - REL_ERROR))
+    return f"""
+WITH r AS (SELECT DISTINCT * FROM forecasts),
+l AS (SELECT run_date, category, step, 'y_true' AS measure, y_true AS x FROM r UNION ALL SELECT run_date, category, step, 'y_pred', y_pred FROM r)
+SELECT run_date, category, step, measure, CASE WHEN x IS NULL THEN 'null' WHEN isnan(x) THEN 'nan' WHEN isinf(x) THEN 'inf' ELSE 'value' END AS kind,
+ round(CASE WHEN x IS NULL OR NOT isfinite(x) THEN NULL WHEN x = 0 THEN 0.0 ELSE sign(x) * pow({g}, ceil(ln(abs(x)) / ln({g}))) * (2 / ({g} + 1)) END, 6) AS value, count(*) AS n FROM l GROUP BY ALL"""
+
+
 ORACLE = {
+    "p1_percentiles": f"SELECT * REPLACE (round(value, 6) AS value) FROM ({_percentile_sql(REL_ERROR)}) AS result",
+    "p1_daily_summaries": _daily_sql(),
     "p1_percentiles_exact": _percentile_sql(0.0),
+    "p3_groups": f"""
+WITH RECURSIVE h AS (SELECT DISTINCT shock_id, list_sort(list_distinct(regexp_extract_all(lower("{HEADLINES}"), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM top_shocks_news WHERE "{HEADLINES}" IS NOT NULL AND "{HEADLINES}" <> ''),
+m AS (SELECT shock_id, w, min(shock_id) OVER (PARTITION BY w) AS class_id FROM h WHERE len(w) > 0), k AS (SELECT shock_id AS id, w FROM m WHERE shock_id = class_id),
+t AS (SELECT id, len(w) AS n, unnest(w) AS x FROM k), s AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM s WHERE c >= 0.6 * (na + nb - c)), e AS (FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT id AS node, id AS root FROM k UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node)
+SELECT m.shock_id, m.class_id, g.group_id FROM m JOIN (SELECT node, min(root) AS group_id FROM reach GROUP BY node) g ON g.node = m.class_id""",
+    "p3_links": f"""
+WITH h AS (SELECT DISTINCT shock_id, list_sort(list_distinct(regexp_extract_all(lower("{HEADLINES}"), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM top_shocks_news WHERE "{HEADLINES}" IS NOT NULL AND "{HEADLINES}" <> ''),
+m AS (SELECT shock_id, w, min(shock_id) OVER (PARTITION BY w) AS class_id FROM h WHERE len(w) > 0), k AS (SELECT shock_id AS id, w FROM m WHERE shock_id = class_id),
+t AS (SELECT id, len(w) AS n, unnest(w) AS x FROM k), s AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM s WHERE c >= 0.6 * (na + nb - c)), e AS (FROM l UNION ALL SELECT b, a FROM l)
+SELECT m.shock_id, m.class_id, coalesce(n, 0) AS n_links FROM m LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) c ON c.a = m.class_id""",
     "p3_found": f"""
 WITH h AS (SELECT DISTINCT shock_id, list_distinct(regexp_extract_all(lower("{HEADLINES}"), '[\\p{{L}}\\p{{N}}]+')) AS w FROM top_shocks_news WHERE "{HEADLINES}" IS NOT NULL AND "{HEADLINES}" <> ''),
 t AS (SELECT shock_id, len(w) AS n, unnest(w) AS x FROM h),
