@@ -6,9 +6,11 @@ import base64
 import os
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.ranks import cumulate
 from panelmill.sources.tables import durable
 
 TOKENIZERS = "/opt/tokenizers"
@@ -28,12 +30,12 @@ def _encoder(path: str):
 
 
 def token_count(text: Column, folder: str = TOKENIZERS, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> Column:
-    """Number of tokens of the whole text; 0 for null."""
-    path = os.path.join(folder, vocabulary)
+    """Number of tokens of the whole text; 0 for null. The vocabulary file goes from the driver to the executors."""
+    SparkSession.active().sparkContext.addFile(os.path.join(folder, vocabulary))
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoder(path).encode_ordinary
+        encode = _encoder(SparkFiles.get(vocabulary)).encode_ordinary
         return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
 
     return count(text)
@@ -74,6 +76,28 @@ def apportion(shares: dict[str, float], caps: dict[str, int], seats: int) -> dic
     return {s: out.get(s, 0) for s in shares}
 
 
+def shard_seats(shards: DataFrame, reach: int = 2) -> DataFrame:
+    """Adds due: the seats of a source (column seats) among its shards (source, shard, own) by the highest quotients own / (2 * seats + 1); ties by shard.
+
+    A shard's seats lie near its proportional part; the quotients of `reach` seats to either side of
+    it compete, ranked by running counts over ranges, so no task holds a source. If one of
+    them turns out too narrow anywhere, it is widened and the ranking is done again.
+    """
+    shards = durable(shards, "shards")
+    while True:
+        sums = shards.groupBy("source").agg(F.sum("own").alias("_all"))
+        x = shards.join(sums, "source").withColumn("_base", F.floor(F.col("seats") * F.col("own") / F.col("_all"))).withColumn("_sure", F.greatest(F.col("_base") - reach, F.lit(0)))
+        given = x.groupBy("source").agg((F.first("seats") - F.sum("_sure")).alias("_open"))
+        cells = x.select("source", "shard", F.explode(F.sequence(F.col("_sure"), F.col("_base") + reach)).alias("_k"), "own")
+        cells = cells.select("source", "shard", (-F.col("own") / (2 * F.col("_k") + 1)).alias("_q"), F.lit(1).alias("_one"))
+        won = cumulate(cells, "source", ["_q", "shard"], "_one", 4096).join(given, "source").where(F.col("upto") <= F.col("_open")).groupBy("source", "shard").agg(F.count(F.lit(1)).alias("_won"))
+        out = durable(x.join(won, ["source", "shard"], "left").withColumn("_won", F.coalesce("_won", F.lit(0))), "seats")
+        narrow = (F.col("_won") > F.col("_base") + reach - F.col("_sure")) | ((F.col("_won") == 0) & (F.col("_sure") > 0))
+        if not out.where(narrow).limit(1).count():
+            return out.withColumn("due", F.col("_sure") + F.col("_won")).drop("_all", "_base", "_sure", "_won")
+        reach *= 4
+
+
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = 4096, shard_tokens: int = 2_000_000, seed: int = 7) -> DataFrame:
     """Documents of the mix: doc_id, source, n_tokens, repeats (1..max_repeats).
 
@@ -109,12 +133,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     rows = listed.join(plan, "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = durable(rows.withColumn("block", F.floor((F.sum("n_tokens").over(line) - F.col("n_tokens")) / block_tokens)), "blocks")
-    blocks = rows.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("size"), F.first("seats").alias("seats"), F.first("tokens").alias("tokens"), F.first("most").alias("most"), F.first("whole").alias("whole"))
-    shards = blocks.groupBy("source", "shard").agg(F.sum("size").alias("own"), F.first("seats").alias("seats"), F.first("tokens").alias("tokens"), F.first("most").alias("most"), F.first("whole").alias("whole"))
-    shards = shards.withColumn("base", F.floor(F.col("seats") * F.col("own") / F.col("tokens")))
-    per = Window.partitionBy("source")
-    shards = shards.withColumn("rest", F.col("seats") - F.sum("base").over(per)).withColumn("rank", F.row_number().over(per.orderBy(F.desc(F.col("own") / (2 * F.col("base") + 1)), "shard")))
-    shards = shards.withColumn("tokens_due", (F.col("base") + F.when(F.col("rank") <= F.col("rest"), 1).otherwise(0)) * block_tokens)
+    blocks = rows.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("size"), F.first("seats").alias("seats"), F.first("most").alias("most"), F.first("whole").alias("whole"))
+    shards = blocks.groupBy("source", "shard").agg(F.sum("size").alias("own"), F.first("seats").alias("seats"), F.first("most").alias("most"), F.first("whole").alias("whole"))
+    shards = shard_seats(shards).withColumn("tokens_due", F.col("due") * block_tokens)
     shards = shards.select("source", "shard", F.when(F.col("whole"), F.col("most")).otherwise(F.least(F.floor(F.col("tokens_due") / F.col("own")), F.col("most"))).alias("passes"), "own", "tokens_due")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source", "shard", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
     picked = blocks.select("source", "shard", "block", "size", "most", F.sum("size").over(order).alias("upto")).join(shards, ["source", "shard"])
@@ -132,4 +153,4 @@ def reached(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     total = F.sum(zero("tokens")).over(Window.partitionBy(F.lit(1)))
     share = F.when(total > 0, zero("tokens") / total).otherwise(0.0)
-    return rows.select("source", "target_share", share.alias("reached_share"), zero("tokens").alias("tokens"), zero("tokens_there").alias("tokens_there"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"), "max_repeats", (zero("tokens") >= 0.98 * zero("tokens_there") * F.col("max_repeats")).alias("at_limit"))
+    return rows.select("source", "target_share", share.alias("reached_share"), zero("tokens").alias("tokens"), zero("tokens_there").alias("tokens_there"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"), "max_repeats", ((zero("tokens") > 0) & (zero("tokens") >= zero("tokens_there") * F.col("max_repeats"))).alias("at_limit"))

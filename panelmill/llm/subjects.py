@@ -44,15 +44,18 @@ def tokens(text: str) -> list[str]:
 class Models:
     """Log-probabilities of words and known word pairs: one column per subject, the last one for all text.
 
-    margin: nats by which the best subject of a sentence must be ahead of its background,
-    the best of the other subjects. Sentences that fit any subject have a lead near 0.
+    The background of a subject is the best of the models of the others.
+    margins: for each subject, the nats by which its cross-entropy must lie below that of its
+    background, over the whole sentence; per token that is the margin divided by the number of tokens,
+    so a short sentence must differ more per token than a long one. Sentences that fit any
+    subject lie near 0. The margins are set by `calibrate` on documents that the models have not seen.
     """
 
     subjects: list[str]
     vocabulary: dict[str, int]
     pairs: np.ndarray
     table: np.ndarray
-    margin: float = 4.0
+    margins: np.ndarray | None = None
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """One row of log-probabilities per token, given the token before it."""
@@ -104,6 +107,11 @@ def lead(sums: np.ndarray) -> np.ndarray:
     return order[:, -1] - order[:, -2]
 
 
+def gain(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Cross-entropy per token of the background less that of the best subject."""
+    return lead(sums) / np.maximum(n, 1)
+
+
 def train(rows: list[tuple[str, set[str]]], subjects: list[str], rounds: int = 4, least: int = 3, trust: float = 3.0, sure: float = 3.0) -> Models:
     """Models from labelled documents (text, labels), labels being incomplete and partly wrong.
 
@@ -142,21 +150,53 @@ def train(rows: list[tuple[str, set[str]]], subjects: list[str], rounds: int = 4
     return models
 
 
-def shares(models: Models, texts: list[str], numbers: _Numbers | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sentences of each text that are about each subject, and sentences in all."""
+def judged(models: Models, texts: list[str], numbers: _Numbers | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sentence: its text, its best subject, the gain per token, its tokens."""
     numbers = _Numbers(models.vocabulary) if numbers is None else numbers
     parts = [np.array([*map(numbers.__getitem__, tokens(t)), _STOP], np.int64) for t in texts]
     if not parts:
-        return np.zeros((0, len(models.subjects))), np.zeros(0)
-    ids = np.concatenate(parts)
-    start, n, sums = models.sentences(ids)
-    best = sums[:, :-1].argmax(1)
-    about = (lead(sums) > models.margin) & (n > 0)
-    ends = np.cumsum([len(p) for p in parts])
-    doc = np.searchsorted(ends, start, side="right")
-    out = np.zeros((len(texts), len(models.subjects)))
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+    start, n, sums = models.sentences(np.concatenate(parts))
+    doc = np.searchsorted(np.cumsum([len(p) for p in parts]), start, side="right")
+    return doc, sums[:, :-1].argmax(1), gain(sums, n), n
+
+
+def counted(doc: np.ndarray, best: np.ndarray, gained: np.ndarray, n: np.ndarray, margins: np.ndarray, texts: int) -> np.ndarray:
+    """Sentences of each text about each subject: those whose gain per token reaches the margin of their subject over their length."""
+    about = (n > 0) & (gained > margins[best] / np.maximum(n, 1))
+    out = np.zeros((texts, len(margins)))
     np.add.at(out, (doc[about], best[about]), 1)
-    return out, np.bincount(doc[n > 0], minlength=len(texts))
+    return out
+
+
+def shares(models: Models, texts: list[str], numbers: _Numbers | None = None) -> np.ndarray:
+    """Sentences of each text that are about each subject."""
+    return counted(*judged(models, texts, numbers), models.margins, len(texts))
+
+
+def calibrate(models: Models, rows: list[tuple[str, set[str]]], least: float, most: int, grid: np.ndarray = np.arange(1.0, 9.1, 0.5), slack: float = 0.0005, gain_of_own: float = 0.002) -> np.ndarray:
+    """Margins with the best agreement (F1 over pairs of document and subject) between accepted subjects and labels.
+
+    First one margin for all: of those that agree as well as the best but for `slack` the least,
+    since labels are incomplete, so that a subject found beyond them is often right. Then each subject's in turn; it leaves the common margin only
+    where that adds gain_of_own, as single documents would move it otherwise.
+    """
+    truth = np.array([[s in labels for s in models.subjects] for _, labels in rows])
+    sentences = judged(models, [t for t, _ in rows])
+
+    def agreement(margins: np.ndarray) -> float:
+        got = accepted(counted(*sentences, margins, len(rows)), least, most)
+        return 2 * (got & truth).sum() / max(got.sum() + truth.sum(), 1)
+
+    k = len(models.subjects)
+    scores = np.array([agreement(np.full(k, m)) for m in grid])
+    margins = np.full(k, grid[scores >= scores.max() - slack][0])
+    for c in range(k):
+        now = agreement(margins)
+        own = np.array([agreement(np.where(np.arange(k) == c, m, margins)) for m in grid])
+        if own.max() >= now + gain_of_own:
+            margins[c] = grid[own >= own.max() - slack][0]
+    return margins
 
 
 def accepted(counts: np.ndarray, least: float, most: int) -> np.ndarray:
@@ -166,26 +206,41 @@ def accepted(counts: np.ndarray, least: float, most: int) -> np.ndarray:
     return (share >= least - 1e-9) & (order < most)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, subjects: list[str], bound: int) -> list[tuple[str, set[str]]]:
-    """At most `bound` labelled documents (the first by a hash of their id) with their labels."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, subjects: list[str], bound: int, bound_chars: int) -> list[tuple[str, set[str]]]:
+    """Labelled documents with their labels: the first by a hash of their id, at most `bound` documents of together at most bound_chars characters (texts that would go beyond are passed over)."""
     known = labels.where(F.col("subject").isin(subjects)).groupBy(F.col(doc).alias("_id")).agg(F.collect_set("subject").alias("_labels"))
     few = known.orderBy(F.xxhash64("_id"), "_id").limit(bound)
-    rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few), "_id").where("_text is not null").orderBy("_id").collect()
-    return [(r["_text"], set(r["_labels"])) for r in rows[:bound]]
+    ids = docs.select(F.col(doc).alias("_id"), F.length(text).alias("_n")).join(F.broadcast(few.select("_id")), "_id").where("_n > 0").groupBy("_id").agg(F.max("_n").alias("_n"))
+    room, keep = bound_chars, []
+    for r in ids.orderBy(F.xxhash64("_id"), "_id").collect():
+        if r["_n"] <= room:
+            keep.append(r["_id"])
+            room -= r["_n"]
+    chosen = few.where(F.col("_id").isin(keep)) if len(keep) < 50 else few.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in keep], few.select("_id").schema)), "_id")
+    rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").where("_text is not null").orderBy("_id").collect()
+    return [(r["_text"], set(r["_labels"])) for r in {r["_id"]: r for r in rows}.values()]
+
+
+def fit(rows: list[tuple[str, set[str]]], subjects: list[str], least: float, most: int) -> Models:
+    """Models of all labelled documents; their margins come from models of every other document, calibrated on the documents in between."""
+    models = train(rows, subjects)
+    held, seen = rows[::2], rows[1::2]
+    models.margins = calibrate(train(seen, subjects), held, least, most) if held and seen else np.full(len(subjects), 4.0)
+    return models
 
 
-def classify(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc: str = "doc_id", text: str = "text", least: float = 0.2, most: int = 3, bound: int = 4000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc: str = "doc_id", text: str = "text", least: float = 0.2, most: int = 3, bound: int = 4000, bound_chars: int = 40_000_000) -> DataFrame:
     """Subjects of each document: doc_id, subject, sentences (about it), about (about any subject).
 
     areas lists the subjects (column subject, a short fixed list); labels has doc_id and
     subject for a sample of documents. The models are fitted on at most `bound` labelled
-    documents and are the only thing sent to the tasks (their size follows the bound);
+    documents of at most bound_chars characters together, and are the only thing sent to the tasks (their size follows the bounds);
     every document is then judged in one scan without a shuffle. Null and blank
     texts and texts without a sentence about any subject give no row. Without labels no
     sentence has a lead, so there are no rows.
     """
     subjects = [r["subject"] for r in areas.select("subject").where("subject is not null").distinct().orderBy("subject").collect()]
-    models = train(labelled_sample(docs, labels, doc, text, subjects, bound), subjects) if len(subjects) > 1 else None
+    models = fit(labelled_sample(docs, labels, doc, text, subjects, bound, bound_chars), subjects, least, most) if len(subjects) > 1 else None
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = np.array(subjects, dtype=object)
 
@@ -195,7 +250,7 @@ def classify(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc: str = "d
         for pdf in batches:
             if fitted is None or not len(pdf):
                 continue
-            counts, _ = shares(fitted, pdf["text"].tolist(), numbers)
+            counts = shares(fitted, pdf["text"].tolist(), numbers)
             d, k = np.nonzero(accepted(counts, least, most))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "subject": names[k], "sentences": counts[d, k].astype("int32"), "about": counts.sum(1)[d].astype("int32")})
 
