@@ -14,7 +14,9 @@ from panelmill.sources.tables import durable
 
 BLOCK = 16  # words; a passage of the corpus is two neighbouring blocks
 PASSAGE, STRIDE = 24, 8  # words of a query passage, and from one to the next
-SEED, PAD = 4, 64  # consecutive words of an item that are searched for exactly; words between two items
+SEED, PAD = 5, 64  # consecutive words of an item that are searched for exactly; words between two items
+ZONE, REACH = 128, 64  # words of an item that share one alignment window, and how far it reaches beyond them
+SHARED = 3  # items that share a first sentence, for it to count as an instruction
 OUT, IN = 5, 6  # words by which the end of an alignment may move outwards and inwards
 
 
@@ -28,13 +30,14 @@ class Items:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in texts + answers for w in t}))}
         self.words = [np.array([self.vocabulary[w] for w in t], np.int32) for t in texts]
         self.answers = [[self.vocabulary[w] for w in a] for a in answers]
-        self.passages, self.owner = [], []
+        self.passages, self.owner, self.start = [], [], []
         for k, w in enumerate(self.words):
             for s in range(0, max(1, len(w) - PASSAGE + STRIDE), STRIDE):
                 if len(w) and (s == 0 or len(w) - s >= BLOCK):
                     self.passages.append(w[s : s + PASSAGE])
                     self.owner.append(k)
-        self.owner = np.array(self.owner, int)
+                    self.start.append(s)
+        self.owner, self.start = np.array(self.owner, int), np.array(self.start, int)
         self.padded = np.full((len(self.passages), PASSAGE), -2, np.int32)
         for k, p in enumerate(self.passages):
             self.padded[k, : len(p)] = p
@@ -217,8 +220,8 @@ def stretch(a: np.ndarray, b: np.ndarray, ends: tuple[np.ndarray, ...], least: i
 class Seeds:
     """Exact search for items: places where SEED consecutive words of an item stand in a document.
 
-    A stretch of 20 words with four changed, added or lost words still holds four
-    consecutive words unchanged, so no such leak is passed over.
+    A stretch of 20 words with three changed, added or lost words (more than one in eight) still
+    holds five consecutive words unchanged, so no such leak is passed over.
     """
 
     def __init__(self, items: list[np.ndarray]):
@@ -229,6 +232,7 @@ class Seeds:
         at = np.flatnonzero(ok)
         at = at[np.argsort(key[at], kind="stable")]
         self.key, self.at, self.owner = key[at], at, owner
+        self.first = PAD + np.cumsum([0, *[len(x) + PAD for x in items]])[:-1] if items else np.zeros(0, int)
 
     @staticmethod
     def keys(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,8 +244,8 @@ class Seeds:
             key = key * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n].astype(np.uint64) + np.uint64(1)
         return key, ok
 
-    def find(self, flat: np.ndarray, first: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(block, item), distinct: blocks where a seed begins that lies in `least` words of which the part 0.8 is in step with the item's, up to three words off.
+    def find(self, flat: np.ndarray, first: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(block, item, zone of the item), distinct: blocks where a seed begins that lies in `least` words of which the part 0.8 is in step with the item's, up to three words off.
 
         first and end bound the document of each block, in words of flat.
         """
@@ -268,27 +272,184 @@ class Seeds:
                 same |= item == text[:, k : k + item.shape[1]]
             run = np.pad(same.cumsum(1, dtype=np.int16), ((0, 0), (1, 0)))
             keep[s : s + 4096] = (run[:, least:] - run[:, : run.shape[1] - least]).max(1) >= 0.8 * least
-        found = np.unique(np.stack([p[keep] // BLOCK, self.owner[q[keep]]]), axis=1)
-        return found[0], found[1]
+        owner = self.owner[q[keep]]
+        found = np.unique(np.stack([p[keep] // BLOCK, owner, (q[keep] - self.first[owner]) // ZONE]), axis=1)
+        return found[0], found[1], found[2]
+
+
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row of a with the row of b; negative numbers never agree."""
+    prev = np.zeros((len(a), b.shape[1] + 1), np.int16)
+    for i in range(a.shape[1]):
+        hit = (a[:, i : i + 1] == b) & (b >= 0)
+        cur = prev.copy()
+        cur[:, 1:] = np.maximum(prev[:, 1:], np.where(hit, prev[:, :-1] + 1, 0))
+        prev = np.maximum.accumulate(cur, axis=1)
+    return prev[:, -1].astype(int)
+
+
+def covered(rows: pd.DataFrame) -> pd.DataFrame:
+    """Alignments (d, k, a0, span, agreeing, cosine) as one row per d and k: words of the item that they cover together, and the agreeing ones of them (in proportion where alignments overlap)."""
+    rows = rows.sort_values(["d", "k", "a0", "span"])
+    out: dict[tuple[int, int], list[float]] = {}
+    for d, k, a0, span, agreeing, cosine in zip(*(rows[c].to_numpy() for c in ("d", "k", "a0", "span", "agreeing", "cosine"))):
+        state = out.setdefault((d, k), [0, 0.0, -1, 0.0])
+        new = max(0, a0 + span - max(a0, state[2]))
+        state[0] += new
+        state[1] += agreeing * new / max(span, 1)
+        state[2] = max(state[2], a0 + span)
+        state[3] = max(state[3], cosine)
+    return pd.DataFrame([(d, k, int(v[0]), round(v[1]), v[3]) for (d, k), v in out.items()], columns=["d", "k", "span", "agreeing", "cosine"])
+
+
+class Search:
+    """Search of one pass of items in batches of documents (doc_id, words as numbers of the items' vocabulary)."""
+
+    def __init__(self, held: Items, table: np.ndarray, cosine: float, least: int, agree: float, agree_long: float):
+        self.table, self.cosine, self.least, self.agree, self.agree_long = table, cosine, least, agree, agree_long
+        self.ids, self.owner, self.start, self.padded = np.array(held.ids), held.owner, held.start, held.padded
+        self.answers = [np.array(a, np.int32) for a in held.answers]
+        query = np.stack([table[p].sum(0) for p in held.passages]) if held.passages else np.zeros((0, table.shape[1]), np.float32)
+        norm = np.linalg.norm(query, axis=1, keepdims=True)
+        self.query = np.ascontiguousarray((query / np.where(norm > 0, norm, 1)).T)
+        self.seeds = Seeds(held.words)
+        self.passages_of = [np.flatnonzero(held.owner == k) for k in range(len(held.words))]
+        self.width = min(ZONE + 2 * REACH, max((len(w) for w in held.words), default=0))
+
+    def window(self, item: np.ndarray, zone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the item around its zone (-2 beyond its ends), and the place of the first of them."""
+        lo = np.maximum(zone * ZONE - REACH, 0)
+        at = self.seeds.first[item] + lo
+        w = at[:, None] + np.arange(self.width)
+        inside = self.seeds.owner[np.clip(w, 0, len(self.seeds.words) - 1)] == item[:, None]
+        return np.where(inside & (w < len(self.seeds.words)), self.seeds.words[np.clip(w, 0, len(self.seeds.words) - 1)], -2), lo
+
+    def __call__(self, batches):
+        for pdf in batches:
+            if len(pdf) and self.query.shape[1]:
+                found = self.batch(pdf)
+                if len(found):
+                    yield found
+
+    def candidates(self, flat, owner_doc, first, end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(block, item, zone, cosine): places by cosine in the latent space and by exact seeds, once each."""
+        vec = _project(flat, self.table)
+        vec[:-1] += np.where((owner_doc[1:] == owner_doc[:-1])[:, None], vec[1:], 0)
+        n = np.linalg.norm(vec, axis=1, keepdims=True)
+        vec /= np.where(n > 0, n, 1)
+        hits = [np.zeros((3, 0), np.int64)]
+        for lo in range(0, len(vec), 256):
+            score = (vec[lo : lo + 256] @ self.query).ravel()
+            at = np.flatnonzero(score >= self.cosine)
+            hits.append(np.stack([lo + at // self.query.shape[1], at % self.query.shape[1], (score[at] * 1e6).astype(np.int64)]))
+        block, passage, score = np.concatenate(hits, axis=1)
+        ext = np.concatenate([flat, np.full(2 * BLOCK, -1, np.int32)])
+        keep = np.zeros(len(block), bool)
+        for lo in range(0, len(block), 4096):
+            at = (block[lo : lo + 4096] * BLOCK)[:, None] + np.arange(2 * BLOCK)
+            window = np.where(at < end[block[lo : lo + 4096]][:, None], ext[at], -1)
+            keep[lo : lo + 4096] = (self.padded[passage[lo : lo + 4096]][:, :, None] == window[:, None, :]).any(2).sum(1) >= 0.6 * self.least
+        block, passage, score = block[keep], passage[keep], score[keep]
+        seed_block, seed_item, seed_zone = self.seeds.find(flat, first, end, self.least)
+        seed_score = np.array([(vec[b] @ self.query[:, self.passages_of[k]]).max() * 1e6 for b, k in zip(seed_block, seed_item)], np.int64)
+        item, zone = np.append(self.owner[passage], seed_item), np.append(self.start[passage] // ZONE, seed_zone)
+        block, score = np.append(block, seed_block), np.append(score, seed_score)
+        if not len(block):
+            return block, item, zone, score
+        order = np.lexsort([-score, block, zone, item])
+        block, item, zone, score = block[order], item[order], zone[order], score[order]
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (item[1:] != item[:-1]) | (zone[1:] != zone[:-1])
+        return block[new], item[new], zone[new], score[new]
+
+    def batch(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        flat, owner_doc, start = _flat(pdf)
+        first = start[owner_doc] * BLOCK
+        end = first + pdf["words"].map(len).to_numpy()[owner_doc]
+        block, item, zone, score = self.candidates(flat, owner_doc, first, end)
+        if not len(block):
+            return pd.DataFrame()
+        # of candidate blocks in a row, the second of each three is aligned for all: its segment holds two blocks to either side
+        joined = np.zeros(len(block), bool)
+        joined[1:] = (item[1:] == item[:-1]) & (zone[1:] == zone[:-1]) & (block[1:] == block[:-1] + 1) & (owner_doc[block[1:]] == owner_doc[block[:-1]])
+        run = np.arange(len(block)) - np.maximum.accumulate(np.where(joined, 0, np.arange(len(block))))
+        lead = run % 3 == 0
+        group = np.cumsum(lead) - 1
+        size = np.bincount(group)
+        top = np.zeros(len(size), np.int64)
+        np.maximum.at(top, group, score)
+        at_block, k, z = block[lead] + (size > 1), item[lead], zone[lead]
+        ext = np.concatenate([np.full(2 * BLOCK, -3, np.int32), flat, np.full(4 * BLOCK, -3, np.int32)])
+        rows, weak = [pd.DataFrame({c: np.zeros(0) for c in ("d", "k", "a0", "span", "agreeing", "cosine")})], []
+        for lo in range(0, len(k), 1024):
+            b, kk, best = at_block[lo : lo + 1024], k[lo : lo + 1024], top[lo : lo + 1024] / 1e6
+            at = (b * BLOCK)[:, None] + np.arange(-2 * BLOCK, 4 * BLOCK)
+            segment = np.where((at >= first[b][:, None]) & (at < end[b][:, None]), ext[at + 2 * BLOCK], -3)
+            words_, offset = self.window(kk, z[lo : lo + 1024])
+            ends = align_ends(words_, segment)
+            spans, other, same = ends[1] - ends[0], ends[3] - ends[2], ends[4].copy()
+            short = same >= self.agree * np.maximum(spans, other)
+            long = (spans >= 1.2 * self.least) & (same >= self.agree_long * np.maximum(spans, 0.8 * other))
+            ok = (spans >= self.least) & (short | long)
+            near = np.flatnonzero(~ok & (spans >= self.least - 2 * OUT) & (same >= self.agree * self.least - 2 * OUT))
+            if len(near):
+                spans[near], same[near] = stretch(words_[near], segment[near], tuple(x[near] for x in ends), self.least, self.agree)
+                ok[near] = spans[near] > 0
+            rows.append(pd.DataFrame({"d": owner_doc[b[ok]], "k": kk[ok], "a0": (ends[0] + offset)[ok], "span": spans[ok], "agreeing": same[ok], "cosine": best[ok]}))
+            rest = np.flatnonzero(~ok & (best >= self.cosine) & np.array([len(self.answers[x]) > 0 for x in kk], bool))
+            weak += [(owner_doc[b[i]], kk[i], words_[i], segment[i], best[i]) for i in rest if self.answered(pdf, owner_doc[b[i]], kk[i])]
+        found = covered(pd.concat(rows)).assign(kind="passage")
+        if weak:
+            found = pd.concat([found, self.paraphrases(weak, {(d, k) for d, k in zip(found["d"], found["k"])})])
+        if not len(found):
+            return found
+        near = [self.answered(pdf, d, k) for d, k in zip(found["d"].astype(int), found["k"].astype(int))]
+        at = found["d"].to_numpy(int)
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at], "item_id": self.ids[found["k"].to_numpy(int)], "span": found["span"].to_numpy(), "agreeing": found["agreeing"].to_numpy(), "cosine": found["cosine"].to_numpy(), "answer_near": near, "kind": found["kind"].to_numpy()})
+
+    def answered(self, pdf: pd.DataFrame, d: int, k: int) -> bool:
+        """Whether the words of the item's answer follow each other in the document."""
+        a, w = self.answers[k], pdf["words"].iloc[d]
+        if not len(a) or len(w) < len(a):
+            return False
+        at = np.flatnonzero(w[: len(w) - len(a) + 1] == a[0])
+        return any((w[i : i + len(a)] == a).all() for i in at)
+
+    def paraphrases(self, weak: list, known: set) -> pd.DataFrame:
+        """Of near passages that no alignment accepts: those of documents that hold the answer and, in the same order, two thirds of the words of a passage length."""
+        best: dict[tuple[int, int], tuple[int, float]] = {}
+        for lo in range(0, len(weak), 1024):
+            part = weak[lo : lo + 1024]
+            n = common_subsequence(np.stack([w[2] for w in part]), np.stack([w[3] for w in part])[:, 2 * BLOCK - 8 : 4 * BLOCK + 8])
+            for (d, k, _, _, score), m in zip(part, n):
+                if m >= PASSAGE * 2 / 3 and (d, k) not in known:
+                    best[d, k] = max(best.get((d, k), (0, 0.0)), (int(m), float(score)))
+        return pd.DataFrame([(d, k, m, m, c, "paraphrase") for (d, k), (m, c) in best.items()], columns=["d", "k", "span", "agreeing", "cosine", "kind"])
+
+
+SCHEMA = "doc_id bigint, item_id bigint, span int, agreeing int, cosine double, answer_near boolean, kind string"
 
 
 def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, rank: int = 64, cosine: float = 0.72, least: int = 20, agree: float = 0.875, agree_long: float = 0.83, fit_blocks: int = 60_000, items_per_pass: int = 1000, seed: int = 3) -> DataFrame:
-    """Documents with passages of held-out items: doc_id, item_id, span (item words), agreeing, cosine, answer_near.
+    """Documents with passages of held-out items: doc_id, item_id, span (item words), agreeing, cosine, answer_near, kind.
 
     items has item_id, text and answer. A leak is a stretch of at least `least` words of the
     item of which the part `agree` stands, in order, in the document, after taking away
     markup, invisible characters, case and look-alike letters. A stretch of 1.2 * least
     words or more needs agree_long on the whole, as it then holds a shorter one that reaches
-    agree, and may hold more added words. A first sentence that
-    1 % of the items (three at least) share counts as an instruction and is left out.
-    answer_near tells whether the words of the answer follow each other in the document.
+    agree, and may hold more added words. span and agreeing cover all stretches of the item in the
+    document together. A first sentence that three items or more share counts as an instruction to the
+    reader and is left out; what follows it is searched like any other text.
+    answer_near tells whether the words of the answer follow each other in the document. kind is
+    'passage' for the above, or 'paraphrase' for a document that is near a passage in the latent space, holds the
+    answer, and two thirds of a passage's words in its order, but no such stretch.
     Null or blank texts on either side give nothing; one row per document and item.
 
     Steps: words of all documents as numbers of the items' vocabulary (written once);
     passage frequencies over the whole corpus; latent basis by a distributed randomised
     SVD of the TF-IDF blocks, fitted on about fit_blocks blocks (hash sample; all statistics and
     the search cover every document); cosine search of every passage of every
-    document and count of common words; beside it an exact search for four consecutive
+    document and count of common words; beside it an exact search for five consecutive
     words of an item, which also finds short leaks that the words around them hide from
     the cosine; alignment, whose ends then move so that changed words there count. Items are the query set and are
     taken in passes of items_per_pass, so what is sent to the tasks is bounded; the
@@ -296,13 +457,13 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, rank: int
     """
     rows = items.select("item_id", "text", "answer").where("text is not null").distinct().orderBy("item_id").collect()
     openings = Counter(first_sentence(r["text"]) for r in rows)
-    dull = {s for s, n in openings.items() if n >= max(3, len(rows) / 100) and len(s) > 4}
+    dull = {s for s, n in openings.items() if n >= SHARED and len(s) > 4}
     out = None
     for lo in range(0, len(rows), items_per_pass):
         part = _one_pass(docs, doc, text, Items(rows[lo : lo + items_per_pass], dull), rank, cosine, least, agree, agree_long, fit_blocks, seed)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, span int, agreeing int, cosine double, answer_near boolean")
+        return docs.sparkSession.createDataFrame([], SCHEMA)
     return out
 
 
@@ -321,74 +482,6 @@ def _one_pass(docs, doc, text, held: Items, rank, cosine, least, agree, agree_lo
     idf = np.log((blocks + 1) / (df + 1))
     basis = latent_basis(tokens, idf, rank, min(1.0, fit_blocks / max(blocks, 1)), seed)
     table = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    query = np.stack([table[p].sum(0) for p in held.passages]) if held.passages else np.zeros((0, table.shape[1]), np.float32)
-    norm = np.linalg.norm(query, axis=1, keepdims=True)
-    query = np.ascontiguousarray((query / np.where(norm > 0, norm, 1)).T)
-    longest = max((len(w) for w in held.words), default=0)
-    item_words = np.full((len(held.words), longest), -2, np.int32)
-    for k, w in enumerate(held.words):
-        item_words[k, : len(w)] = w
-    answers, item_ids, owner, padded = held.answers, np.array(held.ids), held.owner, held.padded
-    seeds, passages_of = Seeds(held.words), [np.flatnonzero(owner == k) for k in range(len(held.words))]
-
-    def search(batches):
-        for pdf in batches:
-            if len(pdf) and query.shape[1]:
-                yield from _search(pdf)
-
-    def _search(pdf):
-        flat, owner_doc, start = _flat(pdf)
-        vec = _project(flat, table)
-        vec[:-1] += np.where((owner_doc[1:] == owner_doc[:-1])[:, None], vec[1:], 0)
-        n = np.linalg.norm(vec, axis=1, keepdims=True)
-        vec /= np.where(n > 0, n, 1)
-        hits = []
-        for lo in range(0, len(vec), 256):
-            score = vec[lo : lo + 256] @ query
-            at = np.flatnonzero(score.ravel() >= cosine)
-            hits.append(np.stack([lo + at // score.shape[1], at % score.shape[1], (score.ravel()[at] * 1e6).astype(np.int64)]))
-        block, passage, score = np.concatenate(hits, axis=1)
-        ext = np.concatenate([np.full(2 * BLOCK, -1, np.int32), flat, np.full(4 * BLOCK, -1, np.int32)])
-        first = start[owner_doc] * BLOCK
-        end = first + pdf["words"].map(len).to_numpy()[owner_doc]
-        keep = np.zeros(len(block), bool)
-        for lo in range(0, len(block), 4096):
-            b = block[lo : lo + 4096]
-            window = ext[(b * BLOCK + 2 * BLOCK)[:, None] + np.arange(2 * BLOCK)]
-            window = np.where((b * BLOCK)[:, None] + np.arange(2 * BLOCK) < end[b][:, None], window, -1)
-            p = padded[passage[lo : lo + 4096]]
-            common = (p[:, :, None] == window[:, None, :]).any(2).sum(1)
-            keep[lo : lo + 4096] = common >= 0.6 * least
-        seed_block, seed_item = seeds.find(flat, first, end, least)
-        seed_score = np.array([(vec[b] @ query[:, passages_of[k]]).max() * 1e6 for b, k in zip(seed_block, seed_item)], np.int64)
-        block, item, score = np.append(block[keep], seed_block), np.append(owner[passage[keep]], seed_item), np.append(score[keep], seed_score)
-        key, inverse = np.unique(block * len(item_ids) + item, return_inverse=True)
-        if not len(key):
-            return
-        top = np.zeros(len(key), np.int64)
-        np.maximum.at(top, inverse, score)
-        block, item = key // len(item_ids), key % len(item_ids)
-        rows = []
-        for lo in range(0, len(key), 1024):
-            b, k = block[lo : lo + 1024], item[lo : lo + 1024]
-            at = (b * BLOCK)[:, None] + np.arange(-2 * BLOCK, 4 * BLOCK)
-            segment = np.where((at >= first[b][:, None]) & (at < end[b][:, None]), ext[at + 2 * BLOCK], -3)
-            ends = align_ends(item_words[k], segment)
-            spans, other, same = ends[1] - ends[0], ends[3] - ends[2], ends[4]
-            short = same >= agree * np.maximum(spans, other)
-            long = (spans >= 1.2 * least) & (same >= agree_long * np.maximum(spans, 0.8 * other))
-            ok = (spans >= least) & (short | long)
-            near = np.flatnonzero(~ok & (spans >= least - 2 * OUT) & (same >= agree * least - 2 * OUT))
-            if len(near):
-                spans[near], same[near] = stretch(item_words[k[near]], segment[near], tuple(x[near] for x in ends), least, agree)
-                ok[near] = spans[near] > 0
-            rows.append(pd.DataFrame({"d": owner_doc[b[ok]], "k": k[ok], "span": spans[ok], "agreeing": same[ok], "cosine": top[lo : lo + 1024][ok] / 1e6}))
-        found = pd.concat(rows)
-        if not len(found):
-            return
-        found = found.sort_values(["d", "k", "span", "agreeing", "cosine"]).drop_duplicates(["d", "k"], keep="last")
-        texts = {d: pdf["words"].iloc[d].tolist() for d in found["d"].unique()}
-        near = [bool(answers[k]) and any(texts[d][j : j + len(answers[k])] == answers[k] for j in range(len(texts[d]))) for d, k in zip(found["d"], found["k"])]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[found["d"]], "item_id": item_ids[found["k"]], "span": found["span"].to_numpy(), "agreeing": found["agreeing"].to_numpy(), "cosine": found["cosine"].to_numpy(), "answer_near": near})
-
-    return tokens.mapInPandas(search, "doc_id bigint, item_id bigint, span int, agreeing int, cosine double, answer_near boolean").groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("span", "agreeing", "cosine", "answer_near")])
+    found = tokens.mapInPandas(Search(held, table, cosine, least, agree, agree_long), SCHEMA)
+    # one document in several rows of the corpus: its best row, a passage before a paraphrase
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("kind") == "passage").alias("p"), "span", "agreeing", "cosine", "answer_near", "kind")).alias("r")).select("doc_id", "item_id", *[f"r.{c}" for c in ("span", "agreeing", "cosine", "answer_near", "kind")])

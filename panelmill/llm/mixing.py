@@ -95,7 +95,7 @@ def shard_seats(shards: DataFrame, reach: int = 2) -> DataFrame:
         narrow = (F.col("_won") > F.col("_base") + reach - F.col("_sure")) | ((F.col("_won") == 0) & (F.col("_sure") > 0))
         if not out.where(narrow).limit(1).count():
             return out.withColumn("due", F.col("_sure") + F.col("_won")).drop("_all", "_base", "_sure", "_won")
-        reach *= 4
+        reach = 4 * reach + 1
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = 4096, shard_tokens: int = 2_000_000, seed: int = 7) -> DataFrame:

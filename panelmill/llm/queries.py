@@ -70,7 +70,7 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return p7_leaks(spark, sf_dir).where("kind = 'passage'").select("doc_id", "item_id")
 
 
 def _mixed(spark: SparkSession, sf_dir: str):

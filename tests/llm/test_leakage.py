@@ -101,3 +101,22 @@ def test_short_leaks_in_hosts_of_the_items_own_words(spark):
     items = spark.createDataFrame([(i, " ".join(t), "") for i, t in enumerate(texts)], "item_id long, text string, answer string")
     got = {(x["doc_id"], x["item_id"]) for x in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items).collect()}
     assert got == want
+
+
+def test_long_items_long_leaks_and_paraphrases(spark):
+    import random
+
+    r = random.Random(11)
+    vocab = [f"{a}{b}{c}" for a in "бвгдж" for b in "аеиоу" for c in ("рон", "лик", "мец", "тан", "сук", "веш", "дол", "пир")]
+    text = lambda n: " ".join(r.choices(vocab, k=n) if n < 50 else [r.choice(vocab) + str(r.randint(0, 40)) for _ in range(n)])
+    long_item, short = text(17_000).split(), text(60).split()
+    answer = "верный ответ семь"
+    near = short[:30]
+    for k in range(3, 30, 4):
+        near[k] = f"иное{k}"
+    docs = [(1, text(300) + " " + " ".join(long_item[16_500:16_540]) + " " + text(300)), (2, text(100) + " " + " ".join(long_item[200:500]) + " " + text(100)), (3, text(90) + " " + " ".join(near) + " " + answer + " " + text(90)), (4, text(90) + " " + " ".join(near) + " " + text(90)), (5, text(400))]
+    items = spark.createDataFrame([(10, "b", " ".join(long_item), "нет"), (11, "b", " ".join(short), answer)], "item_id long, bench string, text string, answer string")
+    got = {(x["doc_id"], x["item_id"]): x for x in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items).collect()}
+    assert {k for k, v in got.items() if v["kind"] == "passage"} == {(1, 10), (2, 10)}
+    assert abs(got[1, 10]["span"] - 40) <= 4 and abs(got[2, 10]["span"] - 300) <= 10
+    assert (4, 11) not in got and ((3, 11) not in got or got[3, 11]["kind"] == "paraphrase") and (3, 11) in got

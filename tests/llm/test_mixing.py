@@ -71,3 +71,41 @@ def test_sources_too_small_for_their_seats_are_taken_whole(spark):
     got = {s: sum(r["n_tokens"] * r["repeats"] for r in rows if r["source"] == s) for s in ("large", "tiny", "odd")}
     assert got["tiny"] == 900 * 2 and got["odd"] == 11_000 * 3
     assert abs(sum(got.values()) - 300_000) <= 2 * 4096
+
+
+def test_seats_of_shards_are_those_of_handing_out_one_by_one(spark):
+    import random
+
+    from panelmill.llm.mixing import shard_seats
+
+    r = random.Random(7)
+    rows, want = [], {}
+    for name, seats in (("a", 40), ("b", 7), ("c", 0), ("d", 333)):
+        own = {k: r.choice([r.randint(1, 9), r.randint(50, 4000)]) for k in range(12)}
+        rows += [(name, k, v, seats) for k, v in own.items()]
+        got = dict.fromkeys(own, 0)
+        for _ in range(seats):
+            best = min(own, key=lambda k: (-own[k] / (2 * got[k] + 1), k))
+            got[best] += 1
+        want |= {(name, k): v for k, v in got.items()}
+    df = spark.createDataFrame(rows, "source string, shard long, own long, seats long")
+    assert {(x["source"], x["shard"]): x["due"] for x in shard_seats(df).collect()} == want
+    assert {(x["source"], x["shard"]): x["due"] for x in shard_seats(df, reach=0).collect()} == want
+
+
+def test_apportionment_equals_handing_out_seats(spark):
+    import random
+
+    from panelmill.llm.mixing import apportion
+
+    r = random.Random(5)
+    for _ in range(200):
+        names = [f"s{i}" for i in range(r.randint(1, 8))]
+        shares, caps, seats = {s: r.random() for s in names}, {s: r.choice([0, 2, 50, 1000]) for s in names}, r.randint(0, 300)
+        got = dict.fromkeys(names, 0)
+        for _ in range(seats):
+            free = [s for s in names if got[s] < caps[s]]
+            if not free:
+                break
+            got[min(free, key=lambda s: (-shares[s] / (2 * got[s] + 1), -shares[s], s))] += 1
+        assert apportion(shares, caps, seats) == got

@@ -56,3 +56,14 @@ def test_scale_does_not_matter_and_bad_tables(spark):
 def test_bins_are_monotone():
     b = rank_bin(np.arange(200_000), 2000, 0.002)
     assert (np.diff(b) >= 0).all() and (b[:2000] == np.arange(2000)).all() and b[-1] < 5000
+
+
+def test_bins_give_the_order_of_the_exact_walk(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=5000)
+    v = np.stack([base + rng.normal(size=5000), np.exp(base + rng.normal(size=5000)), base + rng.standard_cauchy(5000)], 1)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "id long, a double, b double, c double")
+    place = lambda **k: np.array([r["place"] for r in rank_walk(df, "id", ["a", "b", "c"], **k).orderBy("id").collect()])
+    exact, binned, coarse = place(exact=10_000), place(), place(exact=200)
+    assert np.corrcoef(exact, binned)[0, 1] > 0.9999 and np.abs(exact - binned).max() <= 10
+    assert np.corrcoef(exact, coarse)[0, 1] > 0.9999

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from panelmill.llm.subjects import accepted, classify, shares, train
+from panelmill.llm.subjects import accepted, calibrate, classify, fit, judged, labelled_sample, shares, train
 
 AREAS = ["law", "sport", "science"]
 WORDS = {s: [f"{s}{i}ово" for i in range(12)] for s in AREAS}
@@ -51,5 +51,25 @@ def test_without_labels_or_documents(spark):
 def test_acceptance_and_empty_model():
     n = np.array([[4.0, 1, 0], [3, 1, 1], [0, 0, 0], [1, 1, 1]])
     assert accepted(n, 0.2, 2).tolist() == [[True, True, False], [True, True, False], [False] * 3, [True, True, False]]
-    m = train([], AREAS)
-    assert shares(m, ["что угодно"])[0].sum() == 0
+    m = fit([], AREAS, 0.2, 3)
+    assert shares(m, ["что угодно"]).sum() == 0
+
+
+def test_margins_are_calibrated_and_a_margin_is_per_token():
+    docs, truth, labels = corpus()
+    by = {}
+    for d, s, _ in labels:
+        by.setdefault(d, set()).add(s)
+    rows = [(t, by[d]) for d, t, _ in docs if d in by]
+    m = train(rows[::2], AREAS)
+    margins = calibrate(m, rows[1::2], 0.2, 3)
+    assert len(margins) == 3 and (margins >= 1).all() and (margins <= 9).all()
+    doc, best, gained, n = judged(m, [t for _, t, _ in docs[:40]])
+    assert np.allclose((gained * n)[n > 0] > 4, (gained > 4 / np.maximum(n, 1))[n > 0])
+
+
+def test_the_sample_is_bounded_in_documents_and_characters(spark):
+    docs = spark.createDataFrame([(i, "слово " * (10_000 if i == 3 else 10)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "law") for i in range(60)], "doc_id long, subject string")
+    assert len(labelled_sample(docs, labels, "doc_id", "text", AREAS, 20, 10**9)) == 20
+    assert sum(len(t) for t, _ in labelled_sample(docs, labels, "doc_id", "text", AREAS, 60, 2000)) <= 2000
