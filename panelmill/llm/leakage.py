@@ -288,6 +288,19 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return prev[:, -1].astype(int)
 
 
+def quick_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`common_subsequence` for rows of a of at most 24 words, one bit a word: all rows advance by one word of b at a time."""
+    m = a.shape[1]
+    bits = (2.0 ** np.arange(m)).astype(np.float32)
+    match = ((b[:, :, None] == a[:, None, :]) & (b >= 0)[:, :, None]).astype(np.float32) @ bits
+    match = match.astype(np.uint64)
+    v = np.full(len(a), (1 << m) - 1, np.uint64)
+    for j in range(b.shape[1]):
+        u = v & match[:, j]
+        v = (v + u) | (v - u)
+    return m - np.bitwise_count(v & np.uint64((1 << m) - 1)).astype(int)
+
+
 def covered(rows: pd.DataFrame) -> pd.DataFrame:
     """Alignments (d, k, a0, span, agreeing, cosine) as one row per d and k: words of the item that they cover together, and the agreeing ones of them (in proportion where alignments overlap)."""
     rows = rows.sort_values(["d", "k", "a0", "span"])
@@ -343,12 +356,16 @@ class Search:
             at = np.flatnonzero(score >= self.cosine)
             hits.append(np.stack([lo + at // self.query.shape[1], at % self.query.shape[1], (score[at] * 1e6).astype(np.int64)]))
         block, passage, score = np.concatenate(hits, axis=1)
-        ext = np.concatenate([flat, np.full(2 * BLOCK, -1, np.int32)])
+        # 20 words of a leak share 17 at least with some passage and its window widened by half a block; up to three of them may be changed
+        ext = np.concatenate([np.full(BLOCK // 2, -1, np.int32), flat, np.full(3 * BLOCK, -1, np.int32)])
         keep = np.zeros(len(block), bool)
-        for lo in range(0, len(block), 4096):
-            at = (block[lo : lo + 4096] * BLOCK)[:, None] + np.arange(2 * BLOCK)
-            window = np.where(at < end[block[lo : lo + 4096]][:, None], ext[at], -1)
-            keep[lo : lo + 4096] = (self.padded[passage[lo : lo + 4096]][:, :, None] == window[:, None, :]).any(2).sum(1) >= 0.6 * self.least
+        for lo in range(0, len(block), 2048):
+            b = block[lo : lo + 2048]
+            at = (b * BLOCK)[:, None] + np.arange(-BLOCK // 2, 2 * BLOCK + BLOCK // 2)
+            window = np.where((at >= first[b][:, None]) & (at < end[b][:, None]), ext[at + BLOCK // 2], -1)
+            p = self.padded[passage[lo : lo + 2048]]
+            likely = np.flatnonzero((p[:, :, None] == window[:, None, :]).any(2).sum(1) >= 0.65 * self.least)
+            keep[lo + likely] = quick_subsequence(p[likely], window[likely]) >= 0.65 * self.least
         block, passage, score = block[keep], passage[keep], score[keep]
         seed_block, seed_item, seed_zone = self.seeds.find(flat, first, end, self.least)
         seed_score = np.array([(vec[b] @ self.query[:, self.passages_of[k]]).max() * 1e6 for b, k in zip(seed_block, seed_item)], np.int64)

@@ -120,3 +120,13 @@ def test_long_items_long_leaks_and_paraphrases(spark):
     assert {k for k, v in got.items() if v["kind"] == "passage"} == {(1, 10), (2, 10)}
     assert abs(got[1, 10]["span"] - 40) <= 4 and abs(got[2, 10]["span"] - 300) <= 10
     assert (4, 11) not in got and ((3, 11) not in got or got[3, 11]["kind"] == "paraphrase") and (3, 11) in got
+
+
+def test_quick_and_plain_subsequence_agree():
+    import numpy as np
+
+    from panelmill.llm.leakage import common_subsequence, quick_subsequence
+
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(-2, 8, (300, 24)), rng.integers(-2, 8, (300, 48))
+    assert (quick_subsequence(a, b) == common_subsequence(a, b)).all()
