@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.sources.tables import durable
@@ -31,6 +31,7 @@ def word_classes(df: DataFrame, item: str, tokens: Column) -> tuple[DataFrame, D
     members = durable(own.join(own.groupBy("d").agg(F.min("item").alias("class_id")), "d").select("item", "class_id", "d"), "members")
     first = members.where("item = class_id").select(F.col("item").alias("class_id"), F.col("d").alias("_d"))
     classes = sets.join(first, (F.col("item") == F.col("class_id")) & (F.col("d") == F.col("_d"))).groupBy("class_id").agg(F.first("hashes").alias("hashes"))
+    classes._durable_path = sets._durable_path  # the sets are not needed once the classes are signed
     return members.select("item", "class_id"), classes
 
 
@@ -72,8 +73,8 @@ def signatures(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> Dat
 
 
 def signed_classes(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Signatures of all classes, written once."""
-    return durable(signatures(classes, bands, rows), "signatures")
+    """Signatures of all classes, written once; the table of word sets that `classes` reads is removed then."""
+    return durable(signatures(classes, bands, rows), "signatures", classes)
 
 
 def estimated(a: Column, b: Column, longs: Column) -> Column:
@@ -105,12 +106,14 @@ def verified(pairs: DataFrame, signed: DataFrame, threshold: float, margin: floa
 def similar_classes(signed: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b, similarity) of classes, a < b, with Jaccard similarity >= threshold.
 
-    Candidates share a band key: an equi-join of the keys with themselves, both sides from one
-    exchange, whose hot keys AQE splits over tasks. With bands of r minima a pair of
-    similarity s is missed with a chance of (1 - s**r)**bands. The number of rows is that of the
-    pairs there are; `linking_pairs` serves where only groups are wanted.
+    Candidates share a band key. Keys that occur once, nearly all, are dropped after the one exchange
+    of all keys (a count over rows of two numbers, which spills and holds no group in memory);
+    the rest is joined with itself on the key, and AQE splits hot keys there. With bands of r
+    minima a pair of similarity s is missed with a chance of (1 - s**r)**bands. The number of
+    rows is that of the pairs there are; `linking_pairs` serves where only groups are wanted.
     """
-    keyed = band_keys(signed)
+    keyed = band_keys(signed).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    keyed = durable(keyed, "buckets")
     left, right = keyed.select("key", F.col("class_id").alias("a")), keyed.select("key", F.col("class_id").alias("b"))
     return verified(left.join(right, "key").where("a < b").select("a", "b").distinct(), signed, threshold)
 

@@ -50,7 +50,7 @@ def test_pairs_and_groups_against_brute_force(spark):
 def test_hot_class_and_empty(spark):
     df = spark.createDataFrame([(i, "один и тот же заголовок") for i in range(40)] + [(99, "совсем другое дело")], "id long, text string")
     members, classes = word_classes(df, "id", words(F.col("text")))
-    assert classes.count() == 2
+    assert classes.count() == 2 and members.count() == 41
     close = similar_classes(signed_classes(classes, 20, 4), 0.6)
     assert near_pairs(members, close).count() == 40 * 39 / 2
     members, classes = word_classes(df.limit(0), "id", words(F.col("text")))
