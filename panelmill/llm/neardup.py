@@ -92,15 +92,21 @@ def band_keys(signed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, signed: DataFrame, threshold: float, margin: float = 0.12) -> DataFrame:
-    """Pairs (a, b, similarity) with Jaccard similarity >= threshold: first by the estimate from the signatures (threshold - margin, over four standard errors), then exactly."""
-    longs = F.size("sa")
-    sig = signed.select("class_id", "sig")
-    close = pairs.join(sig.select(F.col("class_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("class_id").alias("b"), F.col("sig").alias("sb")), "b")
-    close = close.where(estimated(F.col("sa"), F.col("sb"), longs) >= threshold - margin).select("a", "b")
-    sets = signed.select("class_id", "hashes")
-    both = close.join(sets.select(F.col("class_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("hashes").alias("hb")), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.select("a", "b", (common / (F.size("ha") + F.size("hb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    """Pairs (a, b, similarity) with Jaccard similarity >= threshold: by the estimate from a quarter of the signature, then from all of it, then exactly.
+
+    The estimates may fall short of the threshold by 2 * margin and by margin, over four of
+    their standard errors. Chance candidates, nearly all, thus move with a quarter of a signature only.
+    """
+
+    def both(p: DataFrame, values: DataFrame) -> DataFrame:
+        return p.join(values.select(F.col("class_id").alias("a"), F.col("x").alias("xa")), "a").join(values.select(F.col("class_id").alias("b"), F.col("x").alias("xb")), "b")
+
+    head = signed.select("class_id", F.slice("sig", 1, SLOTS // 128).alias("x"))
+    close = both(pairs, head).where(estimated(F.col("xa"), F.col("xb"), F.size("xa")) >= threshold - 2 * margin).select("a", "b")
+    close = both(close, signed.select("class_id", F.col("sig").alias("x"))).where(estimated(F.col("xa"), F.col("xb"), F.size("xa")) >= threshold - margin).select("a", "b")
+    common = F.size(F.array_intersect("xa", "xb"))
+    exact = both(close, signed.select("class_id", F.col("hashes").alias("x")))
+    return exact.select("a", "b", (common / (F.size("xa") + F.size("xb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def similar_classes(signed: DataFrame, threshold: float) -> DataFrame:
