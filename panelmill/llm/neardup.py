@@ -35,46 +35,50 @@ def word_classes(df: DataFrame, item: str, tokens: Column) -> tuple[DataFrame, D
     return members.select("item", "class_id"), classes
 
 
-def signatures(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> DataFrame:
-    """class_id, hashes, sig (packed bits of the first SLOTS minima), keys (32 bits per band).
-
-    Each minimum is that of a * x + b modulo 2**32 over the words; the two bits that are kept are
-    mixed from its lower half, where words that differ at all agree by chance only.
-    """
-    count = bands * rows
+def _minima(hashes: pd.Series, count: int, seed: int) -> np.ndarray:
+    """Minima of so many hash functions a * x + b modulo 2**32 over each set: one row a function, one column a set."""
     draw = np.random.default_rng(seed)
     a = draw.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     b = draw.integers(0, 2**32, count, dtype=np.uint32)
-    slots = min(SLOTS, count // 32 * 32)
+    n = hashes.map(len).to_numpy()
+    wide = np.concatenate(hashes.to_numpy()).astype(np.int64).view(np.uint64)
+    flat = (wide >> np.uint64(32)).astype(np.uint32) ^ wide.astype(np.uint32)
+    start = n.cumsum() - n
+    low, x = np.empty((count, len(hashes)), np.uint32), np.empty_like(flat)
+    for k in range(count):
+        np.multiply(flat, a[k], out=x)
+        np.add(x, b[k], out=x)
+        np.minimum.reduceat(x, start, out=low[k])
+    return low
+
+
+def signatures(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> DataFrame:
+    """class_id, hashes, sig: packed bits of the first SLOTS minima.
+
+    The two bits that are kept of each minimum are mixed from its lower half, where words that
+    differ at all agree by chance only.
+    """
+    slots = min(SLOTS, bands * rows // 32 * 32)
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            n = pdf["hashes"].map(len).to_numpy()
-            wide = np.concatenate(pdf["hashes"].to_numpy()).astype(np.int64).view(np.uint64)
-            flat = (wide >> np.uint64(32)).astype(np.uint32) ^ wide.astype(np.uint32)
-            start = n.cumsum() - n
-            low, x = np.empty((count, len(pdf)), np.uint32), np.empty_like(flat)
-            for k in range(count):
-                np.multiply(flat, a[k], out=x)
-                np.add(x, b[k], out=x)
-                np.minimum.reduceat(x, start, out=low[k])
-            two = (low[:slots] * np.uint32(0x9E3779B1)) >> np.uint32(14) & np.uint32(3)
-            packed = np.bitwise_or.reduce(two.astype(np.uint64).reshape(slots // 32, 32, -1) << (np.uint64(2) * np.arange(32, dtype=np.uint64))[None, :, None], axis=1)
-            key = np.zeros((bands, len(pdf)), np.uint64)
-            for r in range(rows):
-                key = (key ^ low[r::rows].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            keys = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pd.DataFrame({"class_id": pdf["class_id"], "hashes": pdf["hashes"], "sig": list(np.ascontiguousarray(packed.T).view(np.int64)), "keys": list(np.ascontiguousarray(keys.T))})
-
-    return classes.mapInPandas(run, "class_id bigint, hashes array<bigint>, sig array<bigint>, keys array<int>")
-
-
-def signed_classes(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Signatures of all classes, written once; the table of word sets that `classes` reads is removed then."""
-    return durable(signatures(classes, bands, rows), "signatures", classes)
+            if len(pdf):
+                low = _minima(pdf["hashes"], bands * rows, seed)[:slots]
+                two = (low * np.uint32(0x9E3779B1)) >> np.uint32(14) & np.uint32(3)
+                packed = np.bitwise_or.reduce(two.astype(np.uint64).reshape(slots // 32, 32, -1) << (np.uint64(2) * np.arange(32, dtype=np.uint64))[None, :, None], axis=1)
+                yield pd.DataFrame({"class_id": pdf["class_id"], "hashes": pdf["hashes"], "sig": list(np.ascontiguousarray(packed.T).view(np.int64))})
+
+    return classes.mapInPandas(run, "class_id bigint, hashes array<bigint>, sig array<bigint>")
+
+
+def signed_classes(classes: DataFrame, bands: int, rows: int, seed: int = 11) -> DataFrame:
+    """Signatures of all classes, written once; the table of word sets that `classes` reads is removed then.
+
+    The band keys, more than half of a class's bytes, are not kept: `band_keys` works them out again.
+    """
+    signed = durable(signatures(classes, bands, rows, seed), "signatures", classes)
+    signed._bands = (bands, rows, seed)
+    return signed
 
 
 def estimated(a: Column, b: Column, longs: Column) -> Column:
@@ -86,9 +90,21 @@ def estimated(a: Column, b: Column, longs: Column) -> Column:
 
 
 def band_keys(signed: DataFrame) -> DataFrame:
-    """(key, class_id): one row for each band of each class."""
-    keyed = signed.select("class_id", F.posexplode("keys").alias("band", "key"))
-    return keyed.select((F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key")).alias("key"), "class_id")
+    """(key, class_id): one row for each band of each class; a key is the band and 32 bits of its minima."""
+    bands, rows, seed = signed._bands
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                low = _minima(pdf["hashes"], bands * rows, seed)
+                key = np.zeros((bands, len(pdf)), np.uint64)
+                for r in range(rows):
+                    key = (key ^ low[r::rows].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                whole = (np.arange(bands, dtype=np.int64) << 32)[:, None] + (key >> np.uint64(32)).astype(np.int64)
+                yield pd.DataFrame({"key": whole.ravel(), "class_id": np.tile(pdf["class_id"].to_numpy(), bands)})
+
+    return signed.select("class_id", "hashes").mapInPandas(run, "key bigint, class_id bigint")
 
 
 def verified(pairs: DataFrame, signed: DataFrame, threshold: float, margin: float = 0.12) -> DataFrame:
