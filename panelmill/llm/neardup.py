@@ -137,7 +137,8 @@ def similar_classes(signed: DataFrame, threshold: float) -> DataFrame:
     keyed = band_keys(signed).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
     keyed = durable(keyed, "buckets")
     left, right = keyed.select("key", F.col("class_id").alias("a")), keyed.select("key", F.col("class_id").alias("b"))
-    return verified(left.join(right, "key").where("a < b").select("a", "b").distinct(), signed, threshold)
+    # spread by a, as the first join needs it, so that the distinct pairs are not moved twice
+    return verified(left.join(right, "key").where("a < b").select("a", "b").repartition("a").distinct(), signed, threshold)
 
 
 def linking_pairs(signed: DataFrame, threshold: float) -> DataFrame:

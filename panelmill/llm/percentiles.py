@@ -82,8 +82,10 @@ def distinct_summaries(df: DataFrame, digest: Column, group: Sequence[str], meas
         packed.append(number.alias(f"_m_{m}"))
     keys = [F.col(f"`{g}`") for g in group]
     rows = df.select(*keys, digest.alias("_digest"), *packed).distinct()
-    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`_m_{m}`").alias("cell")) for i, m in enumerate(measures)])).alias("c"))
-    counts = long.select(*keys, "c.i", "c.cell").groupBy(*keys, "i", "cell").agg(F.count(F.lit(1)).alias("n"))
+    # measure and cell in one number: a shorter row to exchange
+    long = rows.select(*keys, F.explode(F.array(*[F.col(f"`_m_{m}`").cast("bigint") * len(measures) + i for i, m in enumerate(measures)])).alias("c"))
+    counts = long.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*keys, F.pmod("c", F.lit(len(measures))).cast("int").alias("i"), F.floor(F.col("c") / len(measures)).alias("cell"), "n")
     kind = F.lit("value")
     for k, v in code.items():
         kind = F.when(F.col("cell") == v, k).otherwise(kind)
