@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from panelmill.operators.ranks import cumulate
 from panelmill.sources.tables import durable
 
 
-_MIDDLE = 500_000_000  # cell of 1.0; cells reach 1420 / rel_error to either side of it
-_TOP = 2_000_000_000  # cells from here on stand for what is no number
+_KINDS = ("null", "nan", "inf")  # numbers 0 to 2 of `cell_number`; 3 is the cell of 0
+_SHARES = 16  # a group of more than 1 / (_SHARES * partitions) of the rows is split
 
 
 def sketched(x: Column, rel_error: float) -> Column:
@@ -30,17 +31,36 @@ def sketched(x: Column, rel_error: float) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * F.pow(F.lit(gamma), cell) * (2 / (gamma + 1)))
 
 
+def _gamma(rel_error: float) -> float:
+    return (1 + rel_error) / (1 - rel_error)
+
+
+def _span(rel_error: float) -> int:
+    """Logarithmic places of doubles lie between -span and span: their logarithms between -745 and 710."""
+    return math.ceil(760 / math.log(_gamma(rel_error)))
+
+
+def cell_bits(rel_error: float) -> int:
+    """Bits that hold every `cell_number`: 19 for 0.005."""
+    return (5 + 4 * _span(rel_error)).bit_length()
+
+
 def cell_number(x: Column, rel_error: float) -> Column:
-    """Cell of a finite number as an integer: the sign of x and its logarithmic place; equal for equal representatives. 0 is the cell of 0."""
-    gamma = (1 + rel_error) / (1 - rel_error)
-    place = F.ceil(F.ln(F.abs(x)) / math.log(gamma)).cast("int")
-    return F.when(x == 0, F.lit(0)).when(x > 0, place + _MIDDLE).otherwise(-place - _MIDDLE)
+    """Cell of any double as a small integer from 0: what is no number, 0, then place and sign; equal for equal representatives only."""
+    kind = kind_of(x)
+    place = F.ceil(F.ln(F.abs(x)) / math.log(_gamma(rel_error))).cast("bigint") + _span(rel_error)
+    number = F.when(x == 0, F.lit(3)).when(x > 0, place * 2 + 4).otherwise(place * 2 + 5)
+    for i, k in enumerate(_KINDS):
+        number = F.when(kind == k, F.lit(i)).otherwise(number)
+    return number.cast("bigint")
 
 
 def cell_value(cell: Column, rel_error: float) -> Column:
-    """Representative of a cell of `cell_number`."""
-    gamma = (1 + rel_error) / (1 - rel_error)
-    return F.when(cell == 0, F.lit(0.0)).otherwise(F.signum(cell) * F.pow(F.lit(gamma), (F.abs(cell) - _MIDDLE).cast("double")) * (2 / (gamma + 1)))
+    """Representative of a cell of `cell_number`; null for what is no number."""
+    gamma = _gamma(rel_error)
+    place = F.shiftright(cell - 4, 1) - _span(rel_error)
+    sign = F.when(cell % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    return F.when(cell == 3, F.lit(0.0)).when(cell > 3, sign * F.pow(F.lit(gamma), place.cast("double")) * (2 / (gamma + 1)))
 
 
 def kind_of(x: Column) -> Column:
@@ -64,33 +84,46 @@ def summaries(df: DataFrame, group: Sequence[str], measures: Sequence[str], rel_
     return rows.groupBy(*[F.col(f"`{g}`") for g in group], "measure", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def crowded(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Groups that hold more than 1 / (_SHARES * partitions) of the rows: group columns, _shares (parts to split them into).
+
+    These are at most about _SHARES groups a shuffle partition, however many groups and rows there are, so they can be broadcast.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(df.count() // (_SHARES * parts), 1)
+    sizes = df.groupBy(*[F.col(f"`{g}`") for g in group]).agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.where(F.col("_rows") > most).select(*[F.col(f"`{g}`") for g in group], F.ceil(F.col("_rows") / most).cast("int").alias("_shares"))
+
+
 def distinct_summaries(df: DataFrame, digest: Column, group: Sequence[str], measures: Sequence[str], rel_error: float = 0.005) -> DataFrame:
-    """`summaries` of df with exact copies (equal `digest`, group and cells) counted once.
+    """`summaries` of df with exact copies (equal `digest`, group and cells) counted once, in parts: `combine` them for one row a cell.
 
-    Rows become short before they move: a digest, the group, and one integer a measure. They are
-    spread by all of it, so no group, however hot, meets in one task; each task counts
-    its cells, and only those counts are exchanged by group.
+    Rows become short before they move: a digest, the group, and the cells of all measures
+    packed into as few integers as hold them. They move once, by group; a crowded group is
+    split by the digest, so no group, however hot, meets in one task and copies still do.
+    Each task counts its cells, and these counts are the summary of its part; only crowded
+    groups have more than one part. df is read twice, at first for the sizes of the groups.
     """
-    code = {k: i for i, k in enumerate(("null", "nan", "inf"), _TOP)}
-    packed = []
-    for m in measures:
-        x = F.col(f"`{m}`").cast("double")
-        kind = kind_of(x)
-        number = cell_number(x, rel_error)
-        for k, v in code.items():
-            number = F.when(kind == k, F.lit(v)).otherwise(number)
-        packed.append(number.alias(f"_m_{m}"))
+    bits = cell_bits(rel_error)
+    per_word = 63 // bits
+    words = [measures[i : i + per_word] for i in range(0, len(measures), per_word)]
+    packed = [reduce(lambda a, b: a + b, [F.shiftleft(cell_number(F.col(f"`{m}`").cast("double"), rel_error), bits * j) for j, m in enumerate(w)]).alias(f"_w_{k}") for k, w in enumerate(words)]
     keys = [F.col(f"`{g}`") for g in group]
-    rows = df.select(*keys, digest.alias("_digest"), *packed).distinct()
-    # measure and cell in one number: a shorter row to exchange
-    long = rows.select(*keys, F.explode(F.array(*[F.col(f"`_m_{m}`").cast("bigint") * len(measures) + i for i, m in enumerate(measures)])).alias("c"))
-    counts = long.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(*keys, F.pmod("c", F.lit(len(measures))).cast("int").alias("i"), F.floor(F.col("c") / len(measures)).alias("cell"), "n")
+    big = crowded(df, group).select(*[F.col(f"`{g}`").alias(f"_g_{g}") for g in group], "_shares")
+    same = reduce(lambda a, b: a & b, [F.col(f"`{g}`").eqNullSafe(F.col(f"`_g_{g}`")) for g in group], F.lit(True))
+    rows = df.select(*keys, digest.alias("_digest"), *packed).join(F.broadcast(big), same, "left")
+    rows = rows.select(*keys, F.coalesce(F.pmod("_digest", "_shares"), F.lit(0)).cast("int").alias("_part"), "_digest", *[f"_w_{k}" for k in range(len(words))])
+    rows = rows.repartition(*keys, "_part").distinct()  # one exchange serves the copies and the counts
+    # measure and cell in one number
+    cell = lambda i: F.shiftright(f"_w_{i // per_word}", bits * (i % per_word)).bitwiseAND(F.lit((1 << bits) - 1))
+    long = rows.select(*keys, "_part", F.explode(F.array(*[cell(i) * len(measures) + i for i in range(len(measures))])).alias("_c"))
+    counts = long.groupBy(*keys, "_part", "_c").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*keys, F.pmod("_c", F.lit(len(measures))).cast("int").alias("_i"), F.expr(f"_c div {len(measures)}").alias("_cell"), "n")
     kind = F.lit("value")
-    for k, v in code.items():
-        kind = F.when(F.col("cell") == v, k).otherwise(kind)
-    name = F.element_at(F.array(*[F.lit(m) for m in measures]), F.col("i") + 1)
-    return counts.select(*keys, name.alias("measure"), kind.alias("kind"), F.when(F.col("cell") < _TOP, cell_value(F.col("cell"), rel_error)).alias("value"), "n")
+    for i, k in enumerate(_KINDS):
+        kind = F.when(F.col("_cell") == i, k).otherwise(kind)
+    name = F.element_at(F.array(*[F.lit(m) for m in measures]), F.col("_i") + 1)
+    return counts.select(*keys, name.alias("measure"), kind.alias("kind"), cell_value(F.col("_cell"), rel_error).alias("value"), "n")
 
 
 def combine(summary: DataFrame, group: Sequence[str]) -> DataFrame:

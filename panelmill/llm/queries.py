@@ -22,7 +22,7 @@ def _forecast_values(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mergeable summaries per run_date, written to the shared folder."""
+    """Mergeable summaries per run_date, in parts, written to the shared folder."""
     df = read_table(spark, sf_dir, "forecasts")
     return durable(percentiles.distinct_summaries(df, row_digest(df)[0], ["run_date", "category", "step"], ["y_true", "y_pred"], REL_ERROR), "days")
 
@@ -32,7 +32,7 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_daily_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(spark, sf_dir).withColumn("value", F.round("value", 6))
+    return percentiles.combine(_daily(spark, sf_dir), ["run_date", "category", "step"]).withColumn("value", F.round("value", 6))
 
 
 def p1_percentiles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
