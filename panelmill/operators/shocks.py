@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import hash_share
 from panelmill.operators.panel import floored_log, quantile_bin, series, with_medians
-from panelmill.operators.ranks import whole_rank
+from panelmill.operators.ranks import whole_percentiles, whole_rank
 from panelmill.operators.series import nan_median, per_cell
 from panelmill.sources.tables import durable
 
@@ -118,8 +118,8 @@ def combo(scores: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def levels(scores: DataFrame, x: str, shock: float = 0.99, watch: float = 0.97) -> DataFrame:
-    """Adds level: 'shock', 'watch' or '' by exact percentiles of x over all rows (two scalars)."""
-    q = scores.agg(F.percentile(x, F.array(F.lit(shock), F.lit(watch))).alias("q")).first()["q"] or [None, None]
+    """Adds level: 'shock', 'watch' or '' by exact percentiles of x over all rows (two scalars, by running counts); scores is read three times."""
+    q = (whole_percentiles(scores, x, [shock, watch]).first() or {"q": [None, None]})["q"]
     return scores.withColumn("level", F.when(F.col(x) >= F.lit(q[0]), "shock").when(F.col(x) >= F.lit(q[1]), "watch").otherwise(""))
 
 
