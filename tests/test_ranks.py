@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelmill.operators import shocks
-from panelmill.operators.ranks import whole_percentiles
+from panelmill.operators.ranks import whole_percentiles, whole_rank
 
 INF = float("inf")
 
@@ -22,6 +22,13 @@ def test_levels_of_scores_with_infinite_distances(spark):
     assert shocks.levels(df.where("false").withColumn("combo", F.col("a")), "combo").count() == 0
 
 
+def test_ranges_of_ends(spark):
+    x = [-INF, -1e308, -5e-324, 0.0, 5e-324, 1.0, 1e308, INF, INF, float("nan")]
+    df = spark.createDataFrame([(v,) for v in [*x, None]], "x double")
+    got = [(r["rank"], r["rank_n"]) for r in whole_rank(df, "x").orderBy("rank").collect()]
+    assert got == [(None, None), *[(r, 10) for r in (1, 2, 3, 4, 5, 6, 7, 8.5, 8.5, 10)]]
+
+
 def test_percentiles_by_key_are_exact(spark):
     rng = np.random.default_rng(2)
     groups = {"a": rng.lognormal(0, 3, 1001), "b": rng.normal(0, 1, 1000).round(2), "c": np.array([7.0]), "d": np.array([-2.0, -2.0, 5.0, INF]), "e": np.array([1e-9, 1e9])}
