@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from panelmill.operators import metrics, panel, selection
 from panelmill.functions import month_number
-from panelmill.operators.ranks import cumulate, whole_bins, whole_rank
-from panelmill.plans.panels import SIMPLE_SQL, TOTAL, get_dense, get_regions
+from panelmill.operators.ranks import cumulate, whole_bins, whole_percentiles, whole_rank
+from panelmill.plans.panels import SIMPLE_SQL, TOTAL, get_dense, get_readings, get_regions
 from panelmill.plans.registry import Registry
 from panelmill.plans.sql import DENSE, FORECASTS, GROWTH, METRIC_NAMES, METRICS, PROTOCOL
 from panelmill.sources.tables import durable, read_table
@@ -320,9 +320,10 @@ def ref_g14_spearman(spark, sf_dir):
 
 @REG.add(f"WITH {DENSE}, s AS (SELECT a.e, a.t, a.c, a.y / b.y AS share FROM dense a JOIN dense b ON a.e = b.e AND a.t = b.t AND b.c = '{TOTAL}' WHERE a.c <> '{TOTAL}' AND b.y > 0 AND a.y > 0) SELECT c, median(share) AS share, count(*) AS n FROM s GROUP BY c", "share")
 def ref_e12_shares(spark, sf_dir):
-    d = get_dense(spark, sf_dir).where("y > 0")
-    base = d.where(F.col("c") == TOTAL).select("e", "t", F.col("y").alias("b"))
-    return d.where(F.col("c") != TOTAL).join(base, ["e", "t"]).groupBy("c").agg(F.median(F.col("y") / F.col("b")).alias("share"), F.count(F.lit(1)).alias("n"))
+    m = get_readings(spark, sf_dir).where("y > 0").groupBy("e", "t").agg(F.collect_list(F.struct("c", "y")).alias("x"))  # as many as there are categories
+    m = m.select("x", F.explode(F.filter("x", lambda s: s["c"] == TOTAL)).alias("b")).select("b", F.explode(F.filter("x", lambda s: s["c"] != TOTAL)).alias("a"))
+    s = durable(m.select("a.c", (F.col("a.y") / F.col("b.y")).alias("share")), "shares")
+    return whole_percentiles(s, "share", [0.5], "c").select("c", F.col("q")[0].alias("share"), "n")
 
 
 @REG.add(f"WITH {GROWTH}, r AS (SELECT e, c, t, g - median(g) OVER (PARTITION BY c, t) AS idio FROM gr WHERE g IS NOT NULL) SELECT e, c, t, idio FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(abs(idio), 9) DESC, e, t) AS rn FROM r) WHERE rn <= 5", "idio")

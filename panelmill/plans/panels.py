@@ -26,6 +26,12 @@ def get_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.densify(get_panel(spark, sf_dir))
 
 
+def get_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the dense panel that have a reading, without a grid. Rows move once, by entity, so what follows by entity needs no exchange."""
+    rows = read_table(spark, sf_dir, "consumption").repartition("territory_id")
+    return panel.load_panel(rows).where("e is not null and c is not null and t is not null and y is not null")
+
+
 def get_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "territory_static").select(F.col("territory_id").alias("e"), "region").distinct()
 
