@@ -286,8 +286,7 @@ POP_SQL = "pop AS (SELECT DISTINCT territory_id AS e, exp(log_pop) AS pop FROM t
 @REG.add(f"WITH {DENSE}, {POP_SQL}, s AS (SELECT c, t, sum(y * pop) / sum(CASE WHEN y IS NOT NULL THEN pop END) AS v FROM dense JOIN pop USING (e) WHERE y IS NOT NULL GROUP BY ALL), b AS (SELECT c, min_by(v, t) AS base FROM s GROUP BY c) SELECT s.c, s.t, v, v / base - 1 AS growth FROM s JOIN b USING (c)", "v growth")
 def ref_p43_weighted_growth(spark, sf_dir):
     pop = read_table(spark, sf_dir, "territory_static").where("log_pop between 5 and 16").select(F.col("territory_id").alias("e"), F.exp("log_pop").alias("pop")).distinct()
-    d = get_dense(spark, sf_dir).join(pop, "e").where("y is not null")
-    s = d.groupBy("c", "t").agg((F.sum(F.col("y") * F.col("pop")) / F.sum("pop")).alias("v"))
+    s = get_readings(spark, sf_dir).join(pop, "e").groupBy("c", "t").agg((F.sum(F.col("y") * F.col("pop")) / F.sum("pop")).alias("v"))
     base = s.groupBy("c").agg(F.min_by("v", "t").alias("base"))
     return s.join(base, "c").select("c", "t", "v", (F.col("v") / F.col("base") - 1).alias("growth"))
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from panelmill.operators.panel import densify
 
 TOTAL = "Все категории"
 
@@ -31,3 +32,14 @@ def agrees(spark, folder, name):
 
 def test_shares_need_no_grid(spark, folder):
     assert agrees(spark, folder, "ref_e12_shares")
+
+
+def test_weighted_growth_needs_no_grid(spark, folder):
+    assert agrees(spark, folder, "ref_p43_weighted_growth")
+
+
+def test_grid_is_not_broadcast(spark):
+    panel = spark.range(300).select(F.col("id").alias("e"), F.explode(F.sequence(F.lit(1), F.lit(24))).alias("t")).withColumn("c", F.lit("a")).withColumn("y", F.col("t") * 1.0)
+    x = densify(panel).where("y is not null")
+    assert x.count() == 7200 and len(x.collect()) == 7200
+    assert "BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString()
